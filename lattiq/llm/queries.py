@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import bpe, packing
-from lattiq.llm.common import table
+from lattiq.llm import bpe, packing, quality, toxicity
+from lattiq.llm.common import remainder, table
 
 
 def tokenizer(name: str) -> str:
@@ -31,6 +31,22 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def judged(scored: DataFrame, fold: int, out: int) -> DataFrame:
+    return scored.select("doc_id", (remainder("doc_id", fold) == out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of every document to be toxic."""
+    docs = table(spark, sf_dir, "documents")
+    return judged(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 5, 0)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of every document to be of good quality."""
+    docs = table(spark, sf_dir, "documents")
+    return judged(quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))), 3, 1)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every piece of every document."""
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), pattern()))
@@ -38,6 +54,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
+    "op6_toxicity": op6_toxicity,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
