@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import bpe, packing, quality, toxicity
+from lattiq.llm import bpe, jaccard, packing, quality, toxicity
 from lattiq.llm.common import remainder, table
 
 
@@ -41,6 +41,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 5, 0)
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document and the number of its links at five words and a similarity of 0.8."""
+    return jaccard.join_rows(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_texts")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probability of every document to be of good quality."""
     docs = table(spark, sf_dir, "documents")
@@ -55,6 +60,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
     "op6_toxicity": op6_toxicity,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
