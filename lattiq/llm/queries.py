@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import bpe, jaccard, packing, quality, toxicity
+from lattiq.llm import bpe, html, jaccard, packing, quality, toxicity
 from lattiq.llm.common import remainder, table
 
 
@@ -23,6 +23,11 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every whole text as digests."""
     path = tokenizer("byte_bpe_multi_50k.tiktoken")
@@ -58,6 +63,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_bpe_codec": op2_bpe_codec,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
