@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import bpe, html, jaccard, packing, quality, toxicity
+from lattiq.llm import bpe, fingerprint, html, jaccard, packing, quality, toxicity
 from lattiq.llm.common import remainder, table
 
 
@@ -40,6 +40,11 @@ def judged(scored: DataFrame, fold: int, out: int) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", fold) == out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how alike they and the next document's are."""
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probability of every document to be toxic."""
     docs = table(spark, sf_dir, "documents")
@@ -65,6 +70,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_bpe_codec": op2_bpe_codec,
+    "op3_iblt_fingerprint": op3_iblt_fingerprint,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_quality_classifier": op9_quality_classifier,
