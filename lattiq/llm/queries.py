@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import bpe, fingerprint, html, jaccard, packing, quality, toxicity
+from lattiq.llm import bpe, fingerprint, html, jaccard, packing, quality, toxicity, urls
 from lattiq.llm.common import remainder, table
 
 
@@ -45,6 +45,33 @@ def op3_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+#: Host, path and verdict of the rules that the query judges by.
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that fits every page's url and its verdict."""
+    rules = spark.sql("select * from values " + ", ".join(map(str, URL_RULES)) + " as rules(host, path, verdict)")
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
+OP4_SQL = """
+with split as (
+    select page_id,
+        translate(regexp_extract(case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end, '^([^/?#]*)', 1),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end, '^[^/?#]*([^?#]*)', 1) as path
+    from pages),
+rules(r_host, r_path, r_verdict) as (values %s),
+fitting as (
+    select split.page_id, max_by(struct_pack(rule := r_host || r_path, verdict := r_verdict), length(r_host || r_path)) as best
+    from split join rules on (host = r_host or suffix(host, '.' || r_host)) and starts_with(path, r_path)
+    group by split.page_id)
+select split.page_id, coalesce(host, '') as host, coalesce(path, '') as path, best.rule as rule, coalesce(best.verdict, 'allow') as verdict
+from split left join fitting on split.page_id = fitting.page_id
+""" % ", ".join(map(str, URL_RULES))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probability of every document to be toxic."""
     docs = table(spark, sf_dir, "documents")
@@ -71,10 +98,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_bpe_codec": op2_bpe_codec,
     "op3_iblt_fingerprint": op3_iblt_fingerprint,
+    "op4_url_filter": op4_url_filter,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_url_filter": OP4_SQL,
+}
