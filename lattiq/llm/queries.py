@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import bpe, fingerprint, html, jaccard, packing, quality, toxicity, urls
+from lattiq.llm import bpe, fingerprint, html, jaccard, licences, packing, quality, toxicity, urls
 from lattiq.llm.common import remainder, table
 
 
@@ -72,6 +72,34 @@ from split left join fitting on split.page_id = fitting.page_id
 """ % ", ".join(map(str, URL_RULES))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence notices of every document: the best match, the number of matching lines and the names found."""
+    return licences.summary(licences.scan(table(spark, sf_dir, "documents")))
+
+
+OP5_SQL = """
+with templates(name, wording) as (values %s),
+normal as (
+    select name, list_filter(string_split(regexp_replace(lower(wording), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '') as w from templates),
+known as (select name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b from normal),
+lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents),
+split as (
+    select doc_id, list_filter(string_split(regexp_replace(lower(line), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '') as w
+    from lines),
+own as (select doc_id, row_number() over () as line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b from split),
+compared as (
+    select doc_id, line, name, 2.0 * len(list_intersect(own.b, known.b)) / (len(own.b) + len(known.b)) as dice
+    from own join known on 2 * least(len(own.b), len(known.b)) >= 0.8 * (len(own.b) + len(known.b))),
+best as (select doc_id, line, max(dice) as dice, arg_min(name, (-dice, name)) as name from compared where dice >= 0.8 group by doc_id, line),
+found as (
+    select doc_id, arg_min(name, (-dice, name)) as licence, max(dice) as dice, count(*) as n_matches,
+        array_to_string(list_sort(list_distinct(list(name))), ',') as licences
+    from best group by doc_id)
+select d.doc_id, licence, coalesce(dice, 0.0) as dice, cast(coalesce(n_matches, 0) as bigint) as n_matches, coalesce(licences, '') as licences
+from documents d left join found on d.doc_id = found.doc_id
+""" % ", ".join(f"('{n}', '{w}')" for n, w in licences.TEMPLATES)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probability of every document to be toxic."""
     docs = table(spark, sf_dir, "documents")
@@ -99,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
     "op3_iblt_fingerprint": op3_iblt_fingerprint,
     "op4_url_filter": op4_url_filter,
+    "op5_license_scan": op5_license_scan,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_quality_classifier": op9_quality_classifier,
@@ -107,4 +136,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_url_filter": OP4_SQL,
+    "op5_license_scan": OP5_SQL,
 }
