@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm import bpe, fingerprint, html, jaccard, licences, packing, quality, toxicity, urls
+from lattiq.llm import bpe, fingerprint, html, jaccard, licences, neighbours, packing, quality, toxicity, urls
 from lattiq.llm.common import remainder, table
 
 
@@ -111,6 +111,12 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_rows(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_texts")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows found of every row whose vec_id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.search(rows, rows.where(F.col("vec_id") % 50 == 0).select("vec_id"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probability of every document to be of good quality."""
     docs = table(spark, sf_dir, "documents")
@@ -130,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
