@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattiq.llm.bpe import _arrow
 from lattiq.llm.common import partitions, ready, record, saved
 
 
@@ -25,12 +26,15 @@ from lattiq.llm.common import partitions, ready, record, saved
 class Settings:
     """``sample`` rows at most are brought to the driver to grow ``trees`` trees; a leaf should hold about ``leaf`` rows.
 
-    A query looks at leaves until they hold ``probe`` rows (counted once for each tree), whatever the corpus has."""
+    A query looks at leaves until they hold a number of rows (counted once for each tree) that is found by trial: the exact
+    neighbours of ``trials`` queries are looked up, and ``recall`` of them have to lie in the leaves looked at. So vectors
+    with structure are searched in few leaves, and those without any in as many as it takes."""
 
-    trees: int = 16
-    leaf: int = 64
+    trees: int = 24
+    leaf: int = 256
     sample: int = 20_000
-    probe: int = 6_000
+    trials: int = 96
+    recall: float = 0.96
     seed: int = 11
 
 
@@ -93,25 +97,44 @@ def leaves(forest: Forest, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def probes(forest: Forest, size: dict[int, int], x: np.ndarray, enough: int) -> list[int]:
-    """Leaves that one query looks into: the closest branches of all trees first."""
+def nearest_leaves(forest: Forest, size: dict[int, int], x: np.ndarray) -> Iterator[int]:
+    """Leaves that hold rows, those of the closest branches of all trees first: how far a branch is from ``x`` is the sum of
+    the squared distances to the planes between them."""
     margins = forest.normal @ x - forest.offset
-    queue = [(-np.inf, int(root)) for root in forest.roots]
-    heapq.heapify(queue)
-    found, held = [], 0
-    while queue and held < enough:
+    queue = [(0.0, int(root)) for root in forest.roots]
+    while queue:
         away, at = heapq.heappop(queue)
         while forest.low[at] >= 0:
             margin = float(margins[at])
             near, far = (forest.high[at], forest.low[at]) if margin > 0 else (forest.low[at], forest.high[at])
-            heapq.heappush(queue, (max(away, abs(margin)), int(far)))
+            heapq.heappush(queue, (away + margin * margin, int(far)))
             at = int(near)
         if size.get(at):
-            found.append(at)
-            held += size[at]
+            yield at
+
+
+def probes(forest: Forest, size: dict[int, int], x: np.ndarray, enough: int) -> list[int]:
+    """Leaves that one query looks into until they hold ``enough`` rows."""
+    found, held = [], 0
+    for leaf in nearest_leaves(forest, size, x):
+        found.append(leaf)
+        held += size[leaf]
+        if held >= enough:
+            break
     return found
 
 
+def depth(forest: Forest, size: dict[int, int], x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """How many rows the leaves looked at hold until each row of ``wanted`` (its leaves) is among them."""
+    out, held = np.zeros(len(wanted), np.int64), 0
+    for leaf in nearest_leaves(forest, size, x):
+        held += size[leaf]
+        out[(out == 0) & (wanted == leaf).any(axis=1)] = held
+        if out.all():
+            break
+    return out
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
@@ -126,6 +149,20 @@ def cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.einsum("ij,j->i", x, q) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("j,j->", q, q)))
 
 
+def best_of(query: np.ndarray, point: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best different points of each query, by descending score and then point."""
+    order = np.lexsort((point, -score, query))
+    query, point, score = query[order], point[order], score[order]
+    same = np.zeros(len(query), bool)
+    same[1:] = (query[1:] == query[:-1]) & (point[1:] == point[:-1])
+    query, point, score = query[~same], point[~same], score[~same]
+    first = np.ones(len(query), bool)
+    first[1:] = query[1:] != query[:-1]
+    at = np.arange(len(query))
+    keep = at - np.maximum.accumulate(np.where(first, at, 0)) < k
+    return query[keep], point[keep], score[keep]
+
+
 def points_of(rows: DataFrame, id_column: str, vector_column: str, keep: int) -> DataFrame:
     """(point, ids, vector): the vectors that can take part, equal ones once, with their ``keep`` smallest ids, ascending.
 
@@ -141,6 +178,43 @@ def points_of(rows: DataFrame, id_column: str, vector_column: str, keep: int) ->
     return ranked.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("point"), "ids", "vector")
 
 
+def calibrated(points: DataFrame, question: DataFrame, forest: Forest, sizes: dict[int, int], k: int, s: Settings) -> int:
+    """How many rows a query's leaves have to hold, by the exact neighbours of a bounded number of queries.
+
+    They are found by comparing these queries with all rows, a block at a time; only the ``k`` best of each query come to
+    the driver."""
+    trial = question.orderBy(F.xxhash64("point", F.lit(1)), "point").limit(s.trials).toArrow().combine_chunks()
+    if not trial.num_rows:
+        return 1
+    names, x = trial.column("point").to_numpy(), matrix(pa.concat_arrays(trial.column("vector").chunks))
+    schema = pa.schema([("query", pa.int64()), ("point", pa.int64()), ("score", pa.float64()), ("vector", pa.list_(pa.float64()))])
+    norm = x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple[float, int, list[float]]]] = [[] for _ in names]
+        for batch in batches:
+            if not len(batch):
+                continue
+            y, ids = matrix(batch.column("vector")), batch.column("point").to_numpy()
+            score = (y / np.linalg.norm(y, axis=1, keepdims=True)) @ norm.T
+            score[ids[:, None] == names[None, :]] = -np.inf
+            top = np.argpartition(-score, min(k, len(y) - 1), axis=0)[:k]
+            for q in range(len(names)):
+                best[q] = heapq.nlargest(k, best[q] + [(float(score[i, q]), int(ids[i]), y[i].tolist()) for i in top[:, q] if np.isfinite(score[i, q])], key=lambda b: (b[0], -b[1]))
+        rows = [(int(names[q]), point, score, vector) for q, found in enumerate(best) for score, point, vector in found]
+        if rows:
+            yield record(schema, *zip(*rows))
+
+    near = points.select("point", "vector").mapInArrow(compare, "query long, point long, score double, vector array<double>")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "point")
+    near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).toArrow()
+    if not near.num_rows:
+        return 1
+    of, home = near.column("query").to_numpy(), leaves(forest, unit(matrix(pa.concat_arrays(near.column("vector").chunks))))
+    needed = np.concatenate([depth(forest, sizes, unit(x[i : i + 1])[0], home[of == name]) for i, name in enumerate(names)])
+    return int(np.quantile(needed, s.recall, method="higher"))
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 5, s: Settings = Settings(), id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest rows found of every row whose id is among ``queries`` (a column of that
     name), itself left out, by descending cosine and then id.
@@ -152,8 +226,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, s: Settings = Settin
     points = saved(points_of(rows, id_column, vector_column, k + 1))
     total = points.count()
     sample = points.orderBy(F.xxhash64("point"), "point").limit(s.sample).select("vector").toArrow()
-    column = sample.column("vector").combine_chunks()
-    forest = grow(unit(matrix(column if isinstance(column, pa.Array) else column.chunk(0))), s, total) if total else grow(np.zeros((1, 1)), s, 1)
+    forest = grow(unit(matrix(pa.concat_arrays(sample.column("vector").chunks))), s, total) if total else grow(np.zeros((1, 1)), s, 1)
     shared = spark.sparkContext.broadcast(forest)  # fewer nodes than twice the sample in each tree
 
     place_schema = pa.schema([("point", pa.int64()), ("leaf", pa.list_(pa.int64()))])
@@ -174,31 +247,31 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, s: Settings = Settin
     asked = saved(asked.join(points.select("vector", "point"), "vector").select("id", "point"))
     question = saved(asked.select("point").distinct().join(points.select("point", "vector"), "point"))
 
-    probe_schema = pa.schema([("leaf", pa.int64()), ("query", pa.int64()), ("at", pa.list_(pa.float64()))])
+    enough = calibrated(points, question, forest, sizes, k, s)
+    kind = points.schema["vector"].dataType
+    probe_schema = pa.schema([("leaf", pa.int64()), ("query", pa.int64()), ("at", _arrow(kind))])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column("vector"))
-            for lo in range(0, len(x), 100):
-                out = [(leaf, name, row) for name, row, u in zip(batch.column("point")[lo : lo + 100].to_pylist(), x[lo : lo + 100].tolist(), unit(x[lo : lo + 100])) for leaf in probes(shared.value, size.value, u, s.probe)]
-                if out:
-                    yield record(probe_schema, *zip(*out))
+            x, rows_ = unit(matrix(batch.column("vector"))), batch.column("vector")
+            for i, name in enumerate(batch.column("point").to_pylist()):
+                found = probes(shared.value, size.value, x[i], enough)
+                yield record(probe_schema, found, [name] * len(found), rows_.take(pa.array([i] * len(found), pa.int32())).cast(probe_schema.field("at").type))
 
-    probed = question.repartition(partitions(spark), "point").mapInArrow(probe, "leaf long, query long, at array<double>")
+    probed = question.repartition(partitions(spark), "point").mapInArrow(probe, f"leaf long, query long, at {kind.simpleString()}")
     # A leaf's rows and the queries that look into it meet in the task of that leaf, rows first; rows of a leaf without a
     # query are dropped before they get their vectors.
     wanted = saved(probed)
-    members = placed.join(wanted.select("leaf").distinct(), "leaf").join(points.select("point", F.col("vector").cast("array<double>").alias("vector")), "point")
+    members = placed.join(wanted.select("leaf").distinct(), "leaf").join(points.select("point", "vector"), "point")
     both = members.select("leaf", F.lit(0).alias("kind"), F.col("point").alias("name"), "vector").unionByName(wanted.select("leaf", F.lit(1).alias("kind"), F.col("query").alias("name"), F.col("at").alias("vector")))
     both = both.repartition(partitions(spark), "leaf").sortWithinPartitions("leaf", "kind", "name")
     near_schema = pa.schema([("query", pa.int64()), ("point", pa.int64()), ("score", pa.float64())])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, parts, names, held = None, [], [], None
+        leaf, parts, names, held, out, n = None, [], [], None, [], 0
         for batch in batches:
             x, of, kinds, ids = matrix(batch.column("vector")), batch.column("leaf").to_numpy(), batch.column("kind").to_numpy(), batch.column("name").to_numpy()
-            out = []
-            edges = np.flatnonzero(np.diff(of, prepend=-1) | np.diff(kinds, prepend=-1))
+            edges = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(kinds, prepend=-1) != 0))
             for lo, hi in zip(edges, [*edges[1:], len(of)]):
                 if of[lo] != leaf:
                     leaf, parts, names, held = of[lo], [], [], None
@@ -210,10 +283,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, s: Settings = Settin
                     held = np.concatenate(parts), np.concatenate(names)
                 for i in range(lo, hi if held else lo):
                     score = cosine(held[0], x[i])
-                    best = np.lexsort((held[1], -score))[: k + 1]
-                    out += [(int(ids[i]), int(held[1][j]), float(score[j])) for j in best]
-            if out:
-                yield record(near_schema, *zip(*out))
+                    some = np.arange(len(score)) if len(score) <= 4 * k else np.flatnonzero(score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1])
+                    out.append(best_of(np.full(len(some), ids[i]), held[1][some], score[some], k + 1))
+                    n += len(out[-1][0])
+            if n > 100_000:
+                yield record(near_schema, *best_of(*map(np.concatenate, zip(*out)), k + 1))
+                out, n = [], 0
+        if out:
+            yield record(near_schema, *best_of(*map(np.concatenate, zip(*out)), k + 1))
 
     ranked = both.mapInArrow(rank, "query long, point long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "point")
