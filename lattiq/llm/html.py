@@ -34,7 +34,8 @@ TOP = frozenset("header head masthead banner".split())
 MAIN = frozenset("article articles articlebody content main post entry story body text maincontent prose".split())
 NAMES = ("menu", "top", "bottom", "beside", "form", "comments", "aside", "main", "depth", "nearest", "words", "links", "heading", "before_words", "before_links", "after_words", "after_links", "item")
 
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|$))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>", re.S)
+#: A comment, a tag (slash, name, attributes), or what has to be passed over: declarations, tags with an open quote, a tag cut off by the page's end.
+TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|</?[a-zA-Z][^<>]*(?:>|\Z)|</[^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)

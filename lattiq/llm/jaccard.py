@@ -309,17 +309,19 @@ def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     Of rows with the same doc_id and text one stays; so does one of a class without any doc_id."""
     joined = saved(join_rows(docs, s).select("doc_id", "key", "class_id"))
+    free = lambda name: next(n for i in range(len(docs.columns) + 1) if (n := f"_{name}{i}") not in docs.columns)
     if joined.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count():
         # Ids are not unique: rows are told apart by id and text, which takes a shuffle of the texts.
-        spark, columns = docs.sparkSession, docs.columns
-        schema = pa.schema([(f.name, _arrow(f.dataType)) for f in docs.schema] + [("_key", pa.binary())])
-        keyed = docs.mapInArrow(partial(keyed_rows, s=s, schema=schema), docs.withColumn("_key", F.lit(b"")).schema)
-        stay = joined.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("key")).alias("_null")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
-        stay = stay.select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_stay"))
-        kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_stay")), "left_semi")
-        return kept.dropDuplicates(["doc_id", "_key"]).select(*columns)
-    gone = saved(joined.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")))
-    return docs.join(bounded(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+        key, of, stay = free("key"), free("id"), free("stay")
+        schema = pa.schema([(f.name, _arrow(f.dataType)) for f in docs.schema] + [(key, pa.binary())])
+        keyed = docs.mapInArrow(partial(keyed_rows, s=s, schema=schema), docs.withColumn(key, F.lit(b"")).schema)
+        first = joined.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("key")).alias("without")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+        first = first.select(F.col("first.doc_id").alias(of), F.col("first.key").alias(stay))
+        kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(key) == F.col(stay)), "left_semi")
+        return kept.dropDuplicates(["doc_id", key]).select(*docs.columns)
+    gone = free("gone")
+    dropped = saved(joined.where("doc_id <> class_id").select(F.col("doc_id").alias(gone)))
+    return docs.join(bounded(dropped), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def keyed_rows(rows: Iterator[pa.RecordBatch], s: Settings, schema: pa.Schema) -> Iterator[pa.RecordBatch]:

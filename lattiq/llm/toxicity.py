@@ -211,7 +211,8 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model:
     z = np.hstack([(x - mean) / scale, np.ones((len(rows), 1))])
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)) if len(rows) else y
     toxic, ordinary = dictionaries(single)
-    return Model(toxic, ordinary, tuple(odds), tuple(mean), tuple(scale), tuple(logistic(z, y, weight)))
+    weights = logistic(z, y, weight) if 0 < y.sum() < len(y) else np.array([0.0] * MEASURES + [math.log(share / (1 - share))])
+    return Model(toxic, ordinary, tuple(odds), tuple(mean), tuple(scale), tuple(weights))
 
 
 def probability(counts: np.ndarray, model: Model) -> np.ndarray:
@@ -229,11 +230,12 @@ def score_rows(rows: Iterator[pa.RecordBatch], model: Model, schema: pa.Schema)
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, fold: int | None = 5) -> Model:
     """A model from at most ``per_class`` labelled documents of each class; with ``fold``, rows whose crc32 of the id modulo
-    ``fold`` is 0 are kept out. Without labels of both classes every score is the share of toxic labels."""
+    ``fold`` is 0 are kept out. Without labels of both classes every score is the share of toxic labels, a quarter if
+    there is no label."""
     ready(docs.sparkSession)
     marks = labels.where(remainder("doc_id", fold) != 0) if fold else labels
     counts = {r["toxic"]: r["n"] for r in marks.where(F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
+    share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 2)
     sample = labelled_sample(docs, marks, "toxic", per_class).orderBy(F.xxhash64("doc_id"), "doc_id", "text").toArrow()
     return fit(list(zip(sample.column("text").to_pylist(), sample.column("label").to_pylist())), share)
 
