@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from lattiq.llm.bpe import _arrow
 from lattiq.llm.common import labelled_sample, ready, record, remainder, texts
 
-WINDOW, STRIDE, LEVEL, MIN_MATCH = 64, 52, 6, 5
+WINDOW, STRIDE, LEVEL, MIN_MATCH = 64, 52, 9, 5
 #: Bytes of a string that can enter the toxic dictionary, of all such strings, and of ordinary text in both dictionaries.
-GRAM, TOXIC_BYTES, ORDINARY_BYTES = 5, 1024, 4096
+GRAM, TOXIC_BYTES, ORDINARY_BYTES = 5, 1536, 32768
 #: A string enters if it is so many times as frequent in toxic documents, and until each of these holds so many strings.
-RATIO, COVER = 4, 8
+RATIO, COVER = 4, 14
 #: Savings of a window are counted up to this; measures of a text that the probability is fitted on.
 SAVED, MEASURES = 13, 10
 
@@ -182,6 +182,20 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return w
 
 
+def at_best_threshold(w: np.ndarray, z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """``w`` with its intercept moved so that a score of 0.5 is the threshold with the best F1 measure."""
+    margin = z @ w
+    order = np.argsort(-margin, kind="stable")
+    hits, taken = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
+    f1 = 2 * hits / (taken + (weight * y).sum())
+    last = np.append(margin[order][1:] < margin[order][:-1], True)  # a threshold does not part equal margins
+    best = int(np.argmax(np.where(last, f1, -1.0)))
+    cut = (margin[order][best] + margin[order][min(best + 1, len(margin) - 1)]) / 2
+    out = w.copy()
+    out[-1] -= cut
+    return out
+
+
 def fit(rows: list[tuple[str, int]], share: float) -> Model:
     """A model from labelled texts; ``share`` is the share of toxic ones among all labelled rows, which the sample need not have.
 
@@ -211,7 +225,7 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model:
     z = np.hstack([(x - mean) / scale, np.ones((len(rows), 1))])
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)) if len(rows) else y
     toxic, ordinary = dictionaries(single)
-    weights = logistic(z, y, weight) if 0 < y.sum() < len(y) else np.array([0.0] * MEASURES + [math.log(share / (1 - share))])
+    weights = at_best_threshold(logistic(z, y, weight), z, y, weight) if 0 < y.sum() < len(y) else np.array([0.0] * MEASURES + [math.log(share / (1 - share))])
     return Model(toxic, ordinary, tuple(odds), tuple(mean), tuple(scale), tuple(weights))
 
 
