@@ -257,9 +257,9 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def join_rows(docs: DataFrame, s: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, key, class_id, n_links, n_texts) of every row.
+    """(id, key, group, class_id, n_links, n_texts) of every row.
 
-    ``key`` names the text (the set of its shingles); ``class_id`` is the smallest id of all rows that a chain of links
+    ``key`` names the text (the set of its shingles), ``group`` its class by one of these keys; ``class_id`` is the smallest id of all rows that a chain of links
     reaches, ``n_links`` the number of other rows with a similarity of the threshold or more, copies included, ``n_texts``
     that of other texts. Nulls and empty texts are copies of one another and link to nothing else. Repeated rows repeat. A
     null id stays null and is no class_id, unless no row of the class has another.
@@ -300,22 +300,22 @@ def join_rows(docs: DataFrame, s: Settings = Settings(), id_column: str = "doc_i
     sums = links.groupBy("key").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     named = classes.select("key", "id", "size").join(labels, "key", "left").join(sums, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = named.groupBy("label").agg(F.min("id").alias("class_id"))
-    named = named.join(least, "label").select("key", "class_id", (F.col("size") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
-    return digests.select(F.col("id").alias(id_column), "key").join(named, "key").select(id_column, "key", "class_id", "n_links", "n_texts")
+    named = named.join(least, "label").select("key", F.col("label").alias("group"), "class_id", (F.col("size") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
+    return digests.select(F.col("id").alias(id_column), "key").join(named, "key").select(id_column, "key", "group", "class_id", "n_links", "n_texts")
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` (columns as they are) without those that link to a row with a smaller doc_id through a chain.
 
     Of rows with the same doc_id and text one stays; so does one of a class without any doc_id."""
-    joined = saved(join_rows(docs, s).select("doc_id", "key", "class_id"))
+    joined = saved(join_rows(docs, s).select("doc_id", "key", "group", "class_id"))
     free = lambda name: next(n for i in range(len(docs.columns) + 1) if (n := f"_{name}{i}") not in docs.columns)
     if joined.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count():
         # Ids are not unique: rows are told apart by id and text, which takes a shuffle of the texts.
         key, of, stay = free("key"), free("id"), free("stay")
         schema = pa.schema([(f.name, _arrow(f.dataType)) for f in docs.schema] + [(key, pa.binary())])
         keyed = docs.mapInArrow(partial(keyed_rows, s=s, schema=schema), docs.withColumn(key, F.lit(b"")).schema)
-        first = joined.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("key")).alias("without")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+        first = joined.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
         first = first.select(F.col("first.doc_id").alias(of), F.col("first.key").alias(stay))
         kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(key) == F.col(stay)), "left_semi")
         return kept.dropDuplicates(["doc_id", key]).select(*docs.columns)

@@ -105,7 +105,9 @@ def fit(rows: list[tuple[list[int], list[float], list[float], int]], share: floa
     w, v = np.zeros(BUCKETS + STATS), random.normal(0, 0.02, (BUCKETS + STATS, RANK))
     bias, gw, gv, gb = math.log(share / (1 - share)), np.full(len(w), 1e-6), np.full(v.shape, 1e-6), 1e-6
     own = np.arange(BUCKETS, BUCKETS + STATS)
-    for _ in range(epochs if 0 < y.sum() < len(y) else 0):
+    if not 0 < y.sum() < len(y):
+        return Model(bias, w, 0 * v, mean, scale)
+    for _ in range(epochs):
         order = random.permutation(len(rows))
         for lo in range(0, len(rows), batch):
             some = order[lo : lo + batch]
@@ -150,7 +152,8 @@ def score_rows(rows: Iterator[pa.RecordBatch], model: Model, schema: pa.Schema)
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, fold: int | None = 3) -> Model:
     """A model from at most ``per_class`` labelled documents of each class; with ``fold``, rows whose crc32 of the id modulo
-    ``fold`` is 1 are kept out. Without labels of both classes every score is near the share of label 1."""
+    ``fold`` is 1 are kept out. Without labels of both classes every score is the share of label 1, a half if
+    there is no label."""
     ready(docs.sparkSession)
     marks = labels.where(remainder("doc_id", fold) != 1) if fold else labels
     counts = {r["quality"]: r["n"] for r in marks.where(F.col("quality").isin(0, 1)).groupBy("quality").agg(F.count("*").alias("n")).collect()}
