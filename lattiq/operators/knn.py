@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattiq.functions.grouped import by_group
 from lattiq.functions.linalg import METRICS, doubles
 from lattiq.functions.lineage import saved
 from lattiq.functions.rng import uniform
@@ -126,7 +127,7 @@ def hyperplane_leaves(vectors: DataFrame, trees: int, leaf: int, seed: int, dims
     return out
 
 
-def forest(vectors: DataFrame, k: int, trees: int = 10, leaf: int = 48, seed: int = 314159265, rounds: int = 3, metric: str = "l2") -> DataFrame:
+def forest(vectors: DataFrame, k: int, trees: int = 10, leaf: int = 160, seed: int = 314159265, rounds: int = 3, metric: str = "l2") -> DataFrame:
     """Random-hyperplane forest, exact ranking of the leaf mates, then ``rounds`` of propagation."""
     total = vectors.count()
     first = vectors.select(F.size("v").alias("n")).first()
@@ -175,27 +176,41 @@ def merged_leaves(vectors: DataFrame, k: int, trees: int = 8, leaf: int = 40, se
 def nn_descent(vectors: DataFrame, k: int, epochs: int = 8, sample: int = 10, cap: int = 100, seed: int = 7, start: DataFrame | None = None, metric: str = "l2") -> DataFrame:
     """Local joins: a row's new neighbours meet each other and its old ones, forward and reverse, until nothing changes.
 
-    ``sample`` new neighbours of each row take part and at most ``cap`` reverse ones, both chosen by seeded numbers; a
-    neighbour that has taken part is old."""
+    ``sample`` new neighbours of each row take part and at most ``cap`` new and old reverse ones, chosen by seeded numbers, so
+    what meets in one place is bounded; a neighbour that has taken part is old. Only pairs closer than the end of a list
+    that they could enter leave the place where they meet."""
     pool = max(k, 2 * sample)
     knn = start if start is not None else merged_leaves(vectors, pool, trees=4, metric=metric)
-    knn = saved(knn.withColumn("new", F.lit(True)))
+    knn = saved(knn.select("id", "nbr", "d2", F.lit(True).alias("new")))
+
+    def meet(rows: pa.Table):
+        ids, new, far = rows.column("id").to_numpy(), rows.column("new").to_numpy(zero_copy_only=False), rows.column("far").to_numpy()
+        v = array2d(rows.column("v"))
+        d = distances(v[new], v, metric)
+        a, b = np.meshgrid(np.flatnonzero(new), np.arange(len(ids)), indexing="ij")
+        a, b, d = a.ravel(), b.ravel(), d.ravel()
+        fine = (ids[a] != ids[b]) & (~new[b] | (ids[a] < ids[b]))
+        a, b, d = a[fine], b[fine], d[fine]
+        left, right = d <= far[a], d <= far[b]
+        return [np.concatenate([ids[a[left]], ids[b[right]]]), np.concatenate([ids[b[left]], ids[a[right]]]), np.concatenate([d[left], d[right]])]
+
     for epoch in range(epochs):
         mix = uniform(F.col("id") * 1000003 + F.col("nbr"), seed + epoch)
         fresh = Window.partitionBy("id").orderBy(F.desc("new"), mix, "nbr")
         chosen = knn.withColumn("place", F.row_number().over(fresh)).where(~F.col("new") | (F.col("place") <= sample)).select("id", "nbr", "new")
         back = Window.partitionBy("nbr", "new").orderBy(mix, "id")
         reverse = chosen.withColumn("place", F.row_number().over(back)).where(F.col("place") <= cap).select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "new")
-        member = chosen.unionByName(reverse).groupBy("id", "nbr").agg(F.max("new").alias("new"))
-        a, b = member.select(F.col("id").alias("pivot"), F.col("nbr").alias("id"), F.col("new").alias("na")), member.select(F.col("id").alias("pivot"), "nbr", F.col("new").alias("nb"))
-        pairs = a.join(b, "pivot").where("na and id <> nbr and (not nb or id < nbr)").select("id", "nbr").distinct()
-        both = pairs.unionByName(pairs.select(F.col("nbr").alias("id"), F.col("id").alias("nbr")))
-        old = knn.join(chosen.where("new").select("id", "nbr", F.lit(True).alias("used")), ["id", "nbr"], "left").select("id", "nbr", F.lit(False).alias("fresh"), (F.col("new") & F.col("used").isNull()).alias("new"))
-        found = both.distinct().join(knn.select("id", "nbr"), ["id", "nbr"], "left_anti").select("id", "nbr", F.lit(True).alias("fresh"), F.lit(True).alias("new"))
-        marks = old.unionByName(found)
-        ranked = ranked_pairs(marks.select("id", "nbr"), vectors, pool, metric)
-        knn = saved(ranked.join(marks, ["id", "nbr"]))
-        if knn.where("fresh").limit(1).count() == 0:
+        member = chosen.unionByName(reverse).groupBy(F.col("id").alias("pivot"), F.col("nbr").alias("id")).agg(F.max("new").alias("new"))
+        ends = knn.groupBy("id").agg(F.count("*").alias("n"), F.max("d2").alias("far")).select("id", F.when(F.col("n") < pool, F.lit(float("inf"))).otherwise(F.col("far")).alias("far"))
+        met = by_group(member.join(ends, "id").join(vectors.select("id", doubles("v").alias("v")), "id"), "pivot", meet, NEAR, "id long, nbr long, d2 double")
+        used = chosen.where("new").select("id", "nbr", F.lit(True).alias("used"))
+        old = knn.join(used, ["id", "nbr"], "left").select("id", "nbr", "d2", F.lit(0).alias("fresh"), (F.col("new") & F.col("used").isNull()).alias("new"))
+        both = old.unionByName(met.select("id", "nbr", "d2", F.lit(1).alias("fresh"), F.lit(True).alias("new")))
+        # A pair that a list had stays what it was.
+        one = both.groupBy("id", "nbr").agg(F.min(F.struct("fresh", "d2", "new")).alias("s")).select("id", "nbr", "s.*")
+        order = Window.partitionBy("id").orderBy("d2", "nbr")
+        knn = saved(one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool).select("id", "nbr", "d2", "new", "fresh"))
+        if knn.where("fresh = 1").limit(1).count() == 0:
             break
         knn = knn.drop("fresh")
     return nearest(knn.select("id", "nbr", "d2"), k)
