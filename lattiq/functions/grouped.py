@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lattiq.functions.shipping import ship
+
 
 def by_group(df: DataFrame, key: str, work: Callable[[pa.Table], list | None], schema: pa.Schema, ddl: str) -> DataFrame:
     """The rows that ``work`` makes (a list of columns) of each group's rows.
@@ -36,5 +38,6 @@ def by_group(df: DataFrame, key: str, work: Callable[[pa.Table], list | None], s
                 held.append(batch.slice(lo, hi - lo))
         yield from made(held)
 
+    ship(df.sparkSession)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, key).sortWithinPartitions(key).mapInArrow(run, ddl)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattiq.functions.shipping import ship
 from lattiq.operators.graph import canonical, components
 
 
@@ -18,6 +19,7 @@ def greedy(edges: DataFrame, cut_at_max_q: bool = False) -> tuple[DataFrame, Dat
 
     Merging is sequential inside a connected component and components do not touch one another, so each is a task of its own;
     the global order of merges, and so the running modularity, follows from their gains."""
+    ship(edges.sparkSession)
     simple = canonical(edges, dedupe=True)
     m = simple.count()
     part = components(simple)

@@ -14,6 +14,7 @@ from lattiq.functions.grouped import by_group
 from lattiq.functions.linalg import METRICS, doubles
 from lattiq.functions.lineage import saved
 from lattiq.functions.rng import uniform
+from lattiq.functions.shipping import ship
 
 KNN = "id long, nbr long, rank int, d2 double"
 NEAR = pa.schema([("id", pa.int64()), ("nbr", pa.int64()), ("d2", pa.float64())])
@@ -49,6 +50,7 @@ def block_join(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2
 
     Vectors are hashed into blocks of about ``block``; each block of queries meets each block of vectors in a task of its
     own, which returns k rows for each query, so no pair is ever a row."""
+    ship(vectors.sparkSession)
     blocks = max(1, -(-(rows or vectors.count()) // block))
     asked = max(1, -(-queries.count() // block)) if queries is not vectors else blocks
     left = queries.select(F.col("id").cast("long").alias("id"), doubles("v").alias("v"), F.pmod(F.hash("id"), F.lit(asked)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("vb"))

@@ -149,7 +149,7 @@ def knn_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     index = knn.KnnIndex.build(rows.select("id", "v"), "exact", 10)
-    return rounded(index.search(rows.where("id % 10 = 0").select("id", "v"), 5), "d2")
+    return rounded(index.search(rows.select("id", "v"), 5), "d2")
 
 
 @query(with_(VECTORS, knn_sql(10)) + "select least(id, nbr) as u, greatest(id, nbr) as v, 0.0::double as w from knn where rank <= 2 group by least(id, nbr), greatest(id, nbr)")
@@ -157,9 +157,9 @@ def edges_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.prefix_edges(knn.exact(vectors(spark, sf_dir), 10), 2)
 
 
-@query(with_(VECTORS, knn_sql(10)) + "select id as src, nbr as dst, round(d2, 6) as w from knn where nbr < 400")
+@query(with_(VECTORS, knn_sql(10)) + "select id as src, nbr as dst, round(d2, 6) as w from knn where nbr < (select count(*) from vectors)")
 def knn_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(knn.to_arcs(knn.exact(vectors(spark, sf_dir), 10), 400), "w")
+    return rounded(knn.to_arcs(knn.exact(vectors(spark, sf_dir), 10), vectors(spark, sf_dir).count()), "w")
 
 
 # Similarities
@@ -480,14 +480,14 @@ def sgd_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def layout_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(layout.checked(layout.layout(geo(spark, sf_dir), samples=50)), "x", "y")
+    return rounded(layout.checked(layout.layout(geo(spark, sf_dir))), "x", "y")
 
 
 @query()
 def layout_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattiq.plans.pipelines import Options, vectors_to_layout
 
-    return rounded(vectors_to_layout(vectors(spark, sf_dir), Options(knn_type="largevis", samples=20, perplexity=5.0)), "x", "y")
+    return rounded(vectors_to_layout(vectors(spark, sf_dir), Options(knn_type="largevis", perplexity=5.0)), "x", "y")
 
 
 # Partitions

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattiq.functions.shipping import ship
+
 EDGES = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType()), T.StructField("w", T.DoubleType())])
 
 
@@ -112,6 +114,7 @@ def binary(spark: SparkSession, path: str, parse, schema: pa.Schema, ddl: str) -
                 columns = parse(name, content)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, ddl)
 
 

@@ -66,3 +66,13 @@ def test_catalogue(tmp_path):
     for name in ("a.txt", "a_vec.txt", "b_vec.txt", "c.txt"):
         (tmp_path / name).write_text("")
     assert files.catalogue(str(tmp_path)) == ["a"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lattiq.__main__ import main
+
+    (tmp_path / "g.txt").write_text("12 11\n" + "".join(f"{i} {i + 1} 1\n" for i in range(11)))
+    main(["vis", "-mode", "1", "-input", str(tmp_path / "g.txt"), "-output", str(tmp_path / "out"), "-samples", "20", "-epochs", "10", "-multilevel", "0"], spark)
+    assert len(content(tmp_path / "out").splitlines()) == 13
+    main(["evaluate", "-type", "2", "-graph", str(tmp_path / "g.txt"), "-layout", str(tmp_path / "out")], spark)
+    assert "stress" in capsys.readouterr().out
