@@ -2,34 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattiq.functions.lineage import saved  # noqa: F401  for the operators
+from lattiq.functions.shipping import ship
+
 #: Rows and bytes of one Arrow batch: what a Python worker holds at a time.
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Ship this package to the executors once and bound the Arrow batches that Python workers get."""
-    sc = spark.sparkContext
-    if not getattr(sc, "_lattiq_shipped", False):
-        import lattiq
-
-        root = os.path.dirname(os.path.abspath(lattiq.__file__))
-        archive = os.path.join(tempfile.mkdtemp(prefix="lattiq"), "lattiq_code.zip")
-        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-            for folder, _, files in os.walk(root):
-                for name in files:
-                    if name.endswith(".py"):
-                        path = os.path.join(folder, name)
-                        z.write(path, os.path.join("lattiq", os.path.relpath(path, root)))
-        sc.addPyFile(archive)
-        sc._lattiq_shipped = True
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
@@ -43,16 +29,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there; the folder that the session names is used, a
-    temporary one only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lattiq-checkpoint"))
-    return df.checkpoint(eager=True)
-
-
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column, null as the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]

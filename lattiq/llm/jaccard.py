@@ -52,7 +52,7 @@ class WordHashes(dict):
     """64-bit hash by word; cleared when it has grown large, which changes no result."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
         return value

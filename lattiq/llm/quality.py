@@ -36,7 +36,7 @@ class Buckets(dict):
     """Bucket by word; cleared when it has grown large, which changes no result."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = bucket = zlib.crc32(re.sub(r"\d", "0", word.lower()).encode("utf-8", "replace")) % BUCKETS
         return bucket
