@@ -28,11 +28,11 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that an opening tag closes, up to the element that bounds the search.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 #: Words in class, id or role, by what they say of an element.
-ASIDE = frozenset("ad ads adv advert advertisement advertising adsense adslot adbox banner sponsor sponsored promo promotion sidebar aside rail complementary widget widgets related recommended recommendations recirc popular trending share sharing social follow newsletter subscribe subscription signup login signin register search cookie cookies consent gdpr privacy notice notices alert warning disclaimer popup modal overlay dialog toast paywall menu menus nav navbar navigation navi breadcrumb breadcrumbs pagination pager toolbar topbar masthead skip footer foot colophon contentinfo copyright legal tags tagcloud donate".split())
+ASIDE = frozenset("ad ads adsbygoogle adv advert advertisement advertising adsense adslot adbox banner sponsor sponsored promo promotion sidebar aside rail complementary widget widgets related recommended recommendations recirc popular trending share sharing social follow newsletter subscribe subscription signup login signin register search cookie cookies consent gdpr privacy notice notices alert warning disclaimer popup modal overlay dialog toast paywall menu menus nav navbar navigation navi breadcrumb breadcrumbs pagination pager toolbar topbar masthead skip footer foot colophon contentinfo copyright legal tags tagcloud donate".split())
 COMMENTS = frozenset("comment comments commentlist replies reply respond disqus discussion feedback reactions".split())
 TOP = frozenset("header head masthead banner".split())
 MAIN = frozenset("article articles articlebody content main post entry story body text maincontent prose".split())
-NAMES = ("menu", "top", "bottom", "beside", "form", "comments", "aside", "main", "depth", "nearest", "words", "links", "heading", "before_words", "before_links", "after_words", "after_links", "item")
+NAMES = ("menu", "top", "bottom", "beside", "form", "comments", "aside", "main", "depth", "nearest", "words", "links", "heading", "before_words", "before_links", "after_words", "after_links", "item", "outside")
 
 #: A comment, a tag (slash, name, attributes), or what has to be passed over: declarations, tags with an open quote, a tag cut off by the page's end.
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|</?[a-zA-Z][^<>]*(?:>|\Z)|</[^>]*>", re.S)
@@ -58,7 +58,7 @@ class Place:
                     words.update(w.lower() for w in WORD.findall(value))
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
                     hidden = True
-        says_main, says_aside, says_comments, says_top = words & MAIN, words & ASIDE, words & COMMENTS, words & TOP
+        says_main, says_aside, says_comments, says_top = words & MAIN if tag in BLOCK else frozenset(), words & ASIDE, words & COMMENTS, words & TOP
         for name, on in (("menu", tag in ("nav", "menu") or "navigation" in words), ("top", tag == "header" or says_top and not says_main), ("bottom", tag == "footer" or "footer" in words), ("beside", tag == "aside"), ("form", tag in ("form", "fieldset", "dialog", "button", "label", "search")), ("comments", says_comments), ("aside", says_aside and not (says_main and says_aside <= TOP)), ("main", tag in ("article", "main") or says_main), ("item", tag in ("li", "dd", "dt"))):
             if on:
                 setattr(self, name, getattr(self, name) + 1)
@@ -121,7 +121,7 @@ def blocks(html: str) -> list[tuple[str, int, Place]]:
         if tag in BLOCK:
             close()
             if tag in ("article", "main"):  # never inside these: they were left open
-                depth = next((i for i in range(1, len(stack)) if stack[i].tag in ("nav", "footer", "header")), 0)
+                depth = next((i for i in range(1, len(stack)) if stack[i].tag in ("nav", "footer", "header", "form")), 0)
                 if depth:
                     del stack[depth:]
             if stack[-1].tag == "p" or any(s.tag == "p" for s in stack[-3:]):
@@ -145,11 +145,13 @@ def blocks(html: str) -> list[tuple[str, int, Place]]:
 def features(found: list[tuple[str, int, Place]]) -> list[tuple[float, ...]]:
     size = [(text.count(" ") + 1, linked) for text, linked, _ in found]
     density = [linked / words for words, linked in size]
+    marked = any(p.main and p.nearest > 0 for _, _, p in found)  # the page says where its main text is
     out = []
     for i, (_, _, p) in enumerate(found):
         before, after = (size[i - 1][0], density[i - 1]) if i else (0, 0.0), (size[i + 1][0], density[i + 1]) if i + 1 < len(found) else (0, 0.0)
         main = min(p.main, 1)
-        out.append((min(p.menu, 1), min(p.top, 1), min(p.bottom, 1), min(p.beside, 1), min(p.form, 1), min(p.comments, 1), min(p.aside, 1), main, p.main, p.nearest, min(size[i][0], 60), density[i], float(bool(p.heading)), min(before[0], 60), before[1], min(after[0], 60), after[1], float(bool(p.item))))
+        outside = float(marked and not main)
+        out.append((min(p.menu, 1), min(p.top, 1), min(p.bottom, 1), min(p.beside, 1), min(p.form, 1), min(p.comments, 1), min(p.aside, 1), main, p.main, p.nearest, min(size[i][0], 60), density[i], float(bool(p.heading)), min(before[0], 60), before[1], min(after[0], 60), after[1], float(bool(p.item)), outside))
     return out
 
 
@@ -172,6 +174,11 @@ LABELLED = (
     '<article><h1>{k6}</h1><p>{k20}</p><ul><li><a>{k4}</a></li><li><a>{k3}</a></li></ul><p>{k17}</p><nav><a>{n2}</a><a>{n2}</a></nav><footer>{n8}</footer></article>',
     '<div class="notice">{n18}</div><article><div class="promo"><h2>{n3}</h2><p>{n22}</p></div><section class="body"><h2>{k3}</h2><p>{k38}</p><figure><figcaption>{k8}</figcaption></figure></section></article><div class="sponsored"><article><h2>{n5}</h2><p>{n20}</p></article></div>',
     '<aside><article><h2>{n4}</h2><p>{n16}</p></article></aside><main><p>{k44}</p></main><header><p>{n10}</p></header><dialog>{n12}</dialog>',
+    '<div>{n6}</div><p>{n25}</p><article><h1>{k5}</h1><p>{k40}</p><p>{k7}</p></article><div>{n8}</div><p>{n30}</p>',
+    '<nav><a><div class="text">{n1}</div></a></nav><main><p>{k21}</p><p><a>{k2}</a></p></main><footer><div class="content">{n12}</div></footer><aside><div class="text">{n20}</div></aside>',
+    '<div class="sidebar"><div class="content"><p>{n18}</p></div></div><div class="cookie"><div class="text">{n12}</div></div><div class="entry"><p>{k33}</p></div><div class="comments"><div class="body">{n30}</div></div><form><div class="main">{n9}</div></form>',
+    '<div><a>{n2}</a></div><div>{n2}</div><div><a>{n3}</a></div><p>{k45}</p><p>{k2}</p><p>{k30}</p><div><a>{n2}</a></div><div>{n3}</div><div><a>{n2}</a></div>',
+    '<p>{k28}</p><p>{k4}</p><p>{k36}</p><div><a>{n1}</a></div><div>{n1}</div><div><a>{n1}</a></div><div>{n4}</div><div><a>{n5}</a></div>',
     '<main><header><h1>{k5}</h1><p>{k12}</p></header><p>{k31}</p><div class="disclaimer">{n20}</div></main>',
 )
 

@@ -33,6 +33,8 @@ def test_extraction_trains_a_tree_that_fits_its_table():
         ("<article><script>var t='</p>'</script><p>x &lt;y&gt; &eacute;&#8217;</p><!-- <p>no</p> --></article>", "x <y> é’"),
         ("<article><p>kept</p><div class='ad'>buy this now</div></article><section id=comments><p>" + "word " * 50 + "</p></section>", "kept"),
         ("<main><p>un<b>bro</b>ken</p><form><p>write to us</p></form></main><aside>" + "side " * 60 + "</aside>", "unbroken"),
+        ("<p>Welcome to our site</p><div id=content><p>kept text</p><span class=text>more</span></div><p>All rights reserved by somebody</p>", "kept text\nmore"),
+        ("<nav><a><span class=text>Home</span></a></nav><form id=aspnet><main><p>kept</p></main></form><div class='post-comments'><div class=body><p>" + "word " * 40 + "</p></div></div>", "kept"),
         ("<article><p>cut off</p><p class=\"x", "cut off"),
     ],
 )
