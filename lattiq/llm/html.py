@@ -179,6 +179,11 @@ LABELLED = (
     '<div class="sidebar"><div class="content"><p>{n18}</p></div></div><div class="cookie"><div class="text">{n12}</div></div><div class="entry"><p>{k33}</p></div><div class="comments"><div class="body">{n30}</div></div><form><div class="main">{n9}</div></form>',
     '<div><a>{n2}</a></div><div>{n2}</div><div><a>{n3}</a></div><p>{k45}</p><p>{k2}</p><p>{k30}</p><div><a>{n2}</a></div><div>{n3}</div><div><a>{n2}</a></div>',
     '<p>{k28}</p><p>{k4}</p><p>{k36}</p><div><a>{n1}</a></div><div>{n1}</div><div><a>{n1}</a></div><div>{n4}</div><div><a>{n5}</a></div>',
+    '<nav><a>{n2}</a></nav><article><h1>{k3}</h1><p>{k1}</p><p><a>{k2}</a></p><p>{k2}</p><p><a>{k3}</a></p><p>{k40}</p></article>',
+    '<nav><a>{n2}</a></nav><main><p>{k1}</p><p>{k4}</p></main><nav><a>{n1}</a></nav>',
+    '<nav><a>{n2}</a></nav><article><p>{k2}</p></article><nav><a>{n1}</a></nav>',
+    '<nav><a>{n2}</a></nav><h1>{k2}</h1><p>{k40}</p><p>{k3}</p>',
+    '<nav><a>{n2}</a></nav><p>{k3}</p><p>{k40}</p>',
     '<main><header><h1>{k5}</h1><p>{k12}</p></header><p>{k31}</p><div class="disclaimer">{n20}</div></main>',
 )
 
