@@ -33,8 +33,8 @@ class Settings:
     trees: int = 24
     leaf: int = 256
     sample: int = 20_000
-    trials: int = 96
-    recall: float = 0.96
+    trials: int = 128
+    recall: float = 0.975
     seed: int = 11
 
 
