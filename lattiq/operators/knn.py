@@ -89,24 +89,66 @@ def ranked_pairs(pairs: DataFrame, vectors: DataFrame, k: int, metric: str = "l2
     return nearest(pairs.join(a, "id").join(b, "nbr").select("id", "nbr", METRICS[metric](F.col("va"), F.col("vb")).alias("d2")), k)
 
 
+#: Rows that meet in one place at most; a larger bucket or a longer list of reverse neighbours is split by a hash.
+MEET = 512
+
+
+def closest(ids: np.ndarray, names: np.ndarray, d: np.ndarray, k: int, far: np.ndarray | None = None) -> list[np.ndarray]:
+    """(id, nbr, d2): the ``k`` closest columns of each row of ``d``, no further than ``far``, without equal names."""
+    d = np.where(ids[:, None] == names[None, :], np.inf, d)
+    order = np.argsort(names, kind="stable")
+    names, d = names[order], d[:, order]
+    top = np.argsort(d, axis=1, kind="stable")[:, :k]
+    near = np.take_along_axis(d, top, axis=1)
+    fine = np.isfinite(near) if far is None else np.isfinite(near) & (near <= far[:, None])
+    return [np.repeat(ids, top.shape[1])[fine.ravel()], names[top][fine], near[fine]]
+
+
+def merged(pairs: DataFrame, k: int) -> DataFrame:
+    return nearest(pairs.groupBy("id", "nbr").agg(F.min("d2").alias("d2")), k)
+
+
 def propagate(knn: DataFrame, vectors: DataFrame, k: int, rounds: int = 3, metric: str = "l2") -> DataFrame:
-    """Neighbours of neighbours join the own list and the best ``k`` stay, ``rounds`` times."""
+    """Neighbours of neighbours join the own list and the best ``k`` stay, ``rounds`` times.
+
+    The rows that have a pivot in their list meet the pivot's own list there; what leaves is at most ``k`` pairs for each."""
+    if "d2" not in knn.columns:
+        knn = ranked_pairs(knn.select("id", "nbr"), vectors, k, metric)
+    knn = saved(knn.select("id", "nbr", "d2"))
+    place = vectors.select("id", doubles("v").alias("v"))
+
+    def meet(rows: pa.Table):
+        kind, ids = rows.column("kind").to_numpy(), rows.column("id").to_numpy()
+        asking, offered = kind == 0, kind == 1
+        if not asking.any() or not offered.any():
+            return None
+        v = array2d(rows.column("v"))
+        return closest(ids[asking], ids[offered], distances(v[asking], v[offered], metric), k, rows.column("far").to_numpy()[asking])
+
     for _ in range(rounds):
-        own = knn.select("id", "nbr")
-        further = own.alias("a").join(own.alias("b"), F.col("a.nbr") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.nbr").alias("nbr"))
-        knn = saved(ranked_pairs(own.unionByName(further), vectors, k, metric))
-    return knn
+        ends = knn.groupBy("id").agg(F.when(F.count("*") < k, F.lit(float("inf"))).otherwise(F.max("d2")).alias("far"))
+        parts = knn.groupBy(F.col("nbr").alias("pivot")).agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts"))
+        asking = knn.select(F.col("nbr").alias("pivot"), "id").join(parts, "pivot").join(ends, "id").select(F.xxhash64("pivot", F.pmod(F.hash("id"), F.col("parts"))).alias("key"), F.lit(0).alias("kind"), "id", "far")
+        offered = knn.select(F.col("id").alias("pivot"), F.col("nbr").alias("id")).join(parts, "pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        offered = offered.select(F.xxhash64("pivot", "part").alias("key"), F.lit(1).alias("kind"), "id", F.lit(0.0).alias("far"))
+        met = by_group(asking.unionByName(offered).join(place, "id").select("key", "kind", "id", "far", "v"), "key", meet, NEAR, "id long, nbr long, d2 double")
+        knn = saved(merged(knn.select("id", "nbr", "d2").unionByName(met), k).select("id", "nbr", "d2"))
+    return nearest(knn, k)
 
 
-def bucket_pairs(buckets: DataFrame, cap: int | None = None) -> DataFrame:
-    """Ordered pairs of different ids in the same bucket of (bucket, id).
+def leaf_knn(buckets: DataFrame, vectors: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """The ``k`` nearest of each row among those that share a bucket of (bucket, id) with it.
+
+    A bucket is compared in arrays in one place, and at most ``k`` pairs for each of its rows leave it."""
+    size = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts"))
+    keyed = buckets.join(size, "bucket").select(F.xxhash64("bucket", F.pmod(F.hash("id"), F.col("parts"))).alias("key"), "id")
+
+    def meet(rows: pa.Table):
+        ids, v = rows.column("id").to_numpy(), array2d(rows.column("v"))
+        return closest(ids, ids, distances(v, v, metric), k)
 
-    Buckets of trees are bounded by the tree's leaf size; ``cap`` splits a larger one by a hash of the id."""
-    if cap:
-        size = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
-        buckets = buckets.join(size, "bucket").withColumn("bucket", F.concat_ws("/", "bucket", F.pmod(F.hash("id"), F.ceil(F.col("n") / cap).cast("int")))).drop("n")
-    a, b = buckets.select("bucket", "id"), buckets.select("bucket", F.col("id").alias("nbr"))
-    return a.join(b, "bucket").where("id <> nbr").select("id", "nbr").distinct()
+    met = by_group(keyed.join(vectors.select("id", doubles("v").alias("v")), "id"), "key", meet, NEAR, "id long, nbr long, d2 double")
+    return merged(met, k)
 
 
 def hyperplane_leaves(vectors: DataFrame, trees: int, leaf: int, seed: int, dims: int, total: int) -> DataFrame:
@@ -136,7 +178,7 @@ def forest(vectors: DataFrame, k: int, trees: int = 10, leaf: int = 160, seed: i
     if first is None:
         return vectors.sparkSession.createDataFrame([], KNN)
     buckets = hyperplane_leaves(vectors, trees, leaf, seed, first["n"], total)
-    start = saved(ranked_pairs(bucket_pairs(buckets, 4 * leaf), vectors, k, metric))
+    start = saved(leaf_knn(buckets, vectors, k, metric))
     return propagate(start, vectors, k, rounds, metric) if rounds else start
 
 
@@ -172,7 +214,7 @@ def variance_leaves(vectors: DataFrame, trees: int, leaf: int, seed: int) -> Dat
 
 def merged_leaves(vectors: DataFrame, k: int, trees: int = 8, leaf: int = 40, seed: int = 1998, metric: str = "l2") -> DataFrame:
     """Start lists from variance-split trees: leaf mates of all trees, ranked."""
-    return ranked_pairs(bucket_pairs(variance_leaves(vectors, trees, leaf, seed), 8 * leaf), vectors, k, metric)
+    return leaf_knn(variance_leaves(vectors, trees, leaf, seed), vectors, k, metric)
 
 
 def nn_descent(vectors: DataFrame, k: int, epochs: int = 8, sample: int = 10, cap: int = 100, seed: int = 7, start: DataFrame | None = None, metric: str = "l2") -> DataFrame:
