@@ -284,7 +284,10 @@ def hamming_pool(queries: DataFrame, codes: DataFrame, bits: int, radius: int) -
     return found.groupBy("id", "nbr").agg(F.min("radius").cast("int").alias("radius"))
 
 
-def hamming(vectors: DataFrame, k: int, tables: int = 4, bits: int = 8, radius: int = 2, metric: str = "l2") -> DataFrame:
+def hamming(vectors: DataFrame, k: int, tables: int = 4, bits: int | None = None, radius: int = 2, metric: str = "l2") -> DataFrame:
+    """The nearest of the rows with a code within ``radius`` bits; codes get longer with the number of rows, so that a code's
+    rows stay few."""
+    bits = bits or max(8, int(np.ceil(np.log2(max(1, vectors.count() / 4)))))
     codes = sign_codes(vectors, tables, bits)
     return ranked_pairs(hamming_pool(codes, codes, bits, radius).select("id", "nbr"), vectors, k, metric)
 

@@ -115,7 +115,7 @@ pool as (
 
 @query(with_(VECTORS, CODES, f"pairs as (select p.id, p.nbr, {distance_sql('a.v', 'b.v')} as d2 from pool p join vectors a on a.id = p.id join vectors b on b.id = p.nbr)") + "select * from (select id, nbr, cast(row_number() over (partition by id order by d2, nbr) as int) as rank, round(d2, 6) as d2 from pairs) where rank <= 10")
 def knn_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(knn.hamming(vectors(spark, sf_dir), 10), "d2")
+    return rounded(knn.hamming(vectors(spark, sf_dir), 10, bits=8), "d2")
 
 
 @query(with_(VECTORS, CODES, """held as (select id, radius, sum(count(*)) over (partition by id order by radius) as held from pool group by id, radius),
