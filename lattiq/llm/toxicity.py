@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,11 +25,11 @@ from pyspark.sql import functions as F
 from lattiq.llm.bpe import _arrow
 from lattiq.llm.common import labelled_sample, ready, record, remainder, texts
 
-WINDOW, STRIDE, LEVEL, MIN_MATCH = 64, 52, 9, 5
+WINDOW, STRIDE, LEVEL, MIN_MATCH = 64, 52, 9, 6
 #: Bytes of a string that can enter the toxic dictionary, of all such strings, and of ordinary text in both dictionaries.
-GRAM, TOXIC_BYTES, ORDINARY_BYTES = 5, 1536, 32768
+GRAM, TOXIC_BYTES, ORDINARY_BYTES = 6, 1536, 32768
 #: A string enters if it is so many times as frequent in toxic documents, and until each of these holds so many strings.
-RATIO, COVER = 4, 14
+RATIO, COVER = 8, 14
 #: Savings of a window are counted up to this; measures of a text that the probability is fitted on.
 SAVED, MEASURES = 13, 10
 
@@ -43,8 +44,12 @@ class Model:
     weights: tuple[float, ...]  # the last is the intercept
 
 
+NOT_WORD = re.compile(r"[\W_]+")
+
+
 def normal(text: str) -> bytes:
-    return (" " + " ".join(text.lower().split())).encode("utf-8", "replace")
+    """Lower-case words with one space before each and one behind the last: what stands between words says nothing here."""
+    return f" {NOT_WORD.sub(' ', text.lower()).strip()} ".encode("utf-8", "replace")
 
 
 def grams(data: bytes) -> np.ndarray:
