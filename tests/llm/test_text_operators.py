@@ -1,6 +1,7 @@
 """Operators that work row by row: extraction, BPE, licences, urls, packing."""
 
 import hashlib
+import textwrap
 import time
 import zlib
 
@@ -114,6 +115,24 @@ def test_licence_threshold_is_that_of_brute_force(spark):
         assert [round(m.dice, 9) for m in row.matches] == ([round(best, 9)] if best >= 0.6 else [])
 
 
+def test_wrapped_and_embedded_licences(spark):
+    wrapped = {name: textwrap.fill(wording, 80) for name, wording in licences.TEMPLATES if len(wording) > 200}
+    texts = [
+        *(f"Copyright 2020 Foo.\n\n{text}\n\nother words" for text in wrapped.values()),
+        "Copyright 2020 Foo. Released under the MIT License.",
+        "some words of a paragraph " * 5 + "Released under the MIT License. " + "and some more of them " * 5,
+        "Released under the\nMIT License.\nx\nReleased under the MIT License.\nLicensed under CC BY 4.0. Released under the MIT License.",
+        "under the license of the mit " * 2000,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(m.line, m.licence, m.dice) for m in r.matches] for r in licences.scan(docs).collect()}
+    n = len(wrapped)
+    assert [got[i] for i in range(n)] == [[(3, name, 1.0)] for name in wrapped]
+    assert got[n] == got[n + 1] == [(1, "MIT", 1.0)]
+    assert got[n + 2] == [(1, "MIT", 1.0), (4, "MIT", 1.0), (5, "CC-BY-4.0", 1.0), (5, "MIT", 1.0)]
+    assert got[n + 3] == []
+
+
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"), ("example.com", "/en/", "allow"), (None, "/", "block")]
 
 
