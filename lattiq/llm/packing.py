@@ -9,13 +9,16 @@ then go out to the executors, where every piece finds its place by its rank amon
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,12 +90,39 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return runs
 
 
+@lru_cache(maxsize=4)
+def added_tokens(path: str) -> tuple[regex.Pattern | None, dict[str, int]]:
+    """Pattern and ids of the strings that a tokenizer's JSON turns into ids before anything else, the longest first."""
+    if not path.endswith(".json"):
+        return None, {}
+    with open(path, "rb") as f:
+        tokens = json.load(f).get("added_tokens") or []
+    if odd := [t["content"] for t in tokens if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]:
+        raise ValueError(f"added tokens that take in their surroundings: {odd}")
+    ids = {t["content"]: t["id"] for t in tokens if t["content"]}
+    return regex.compile("|".join(map(regex.escape, sorted(ids, key=len, reverse=True)))) if ids else None, ids
+
+
+def encode_added(encoding: tiktoken.Encoding, text: str, added: tuple[regex.Pattern | None, dict[str, int]]) -> np.ndarray:
+    """Ids of one text as the tokenizer library gives them: added tokens are ids of their own, the parts between are encoded alone."""
+    pattern, names = added
+    found = list(pattern.finditer(text)) if pattern and any(name in text for name in names) else []
+    if not found:
+        return encode_text(encoding, text)
+    out, at = [], 0
+    for m in found:
+        out += [encode_text(encoding, text[at : m.start()]), np.array([names[m[0]]], "<u4")]
+        at = m.end()
+    return np.concatenate([*out, encode_text(encoding, text[at:])])
+
+
 def cut_rows(rows: Iterator[pa.RecordBatch], path: str, pattern: str, capacity: int, end_id: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     encoding, _ = codec(path, pattern)
+    added = added_tokens(path)
     for batch in rows:
         out = [[] for _ in schema]
         for key, text in zip(batch.column("key").to_pylist(), texts(batch, "text")):
-            ids = np.append(encode_text(encoding, text), np.array([end_id], "<u4"))
+            ids = np.append(encode_added(encoding, text, added), np.array([end_id], "<u4"))
             first = (len(ids) - 1) % capacity + 1
             starts = [0, *range(first, len(ids), capacity)]
             for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
@@ -115,7 +145,8 @@ def place_rows(rows: Iterator[pa.RecordBatch], runs, capacity: int, schema: pa.S
 def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every row: its ids and one end id, cut only if there are more than ``capacity``.
 
-    All pieces of a cut row are full but its first. A null or empty text is the end id alone; repeated rows repeat.
+    Added tokens of a tokenizer's JSON are their own ids, as in the tokenizer library's default. All pieces of a cut row are full
+    but its first. A null or empty text is the end id alone; repeated rows repeat.
     """
     ready(docs.sparkSession)
     kind = docs.schema[id_column].dataType

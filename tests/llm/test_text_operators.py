@@ -216,6 +216,15 @@ def test_packing(spark):
     assert packing.pack(packing.pieces(docs.limit(0), JSON, PATTERN)).count() == 0
 
 
+def test_packing_encodes_added_tokens_as_the_library_does(spark):
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n\n b <|endoftext|", " <|ENDOFTEXT|> ", "plain  text ", "w\u00f6rd  <|endoftext|>  " * 40]
+    own = Tokenizer.from_file(JSON)
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), JSON, PATTERN).collect()
+    ids = [own.encode(text, add_special_tokens=False).ids + [0] for text in texts]
+    assert ids[0] == [87, 220, 50256, 331, 0]
+    assert sorted((r.doc_id, r.length, r.ids_crc32) for r in got) == [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)]
+
+
 def test_digests(spark):
     from lattiq.llm.bpe import sha256_hex
 
