@@ -89,7 +89,7 @@ def ranked_pairs(pairs: DataFrame, vectors: DataFrame, k: int, metric: str = "l2
     return nearest(pairs.join(a, "id").join(b, "nbr").select("id", "nbr", METRICS[metric](F.col("va"), F.col("vb")).alias("d2")), k)
 
 
-#: Rows that meet in one place at most; a larger bucket or a longer list of reverse neighbours is split by a hash.
+#: Rows that meet in one place at most; a larger bucket is split by planes, a longer list of reverse neighbours by a hash.
 MEET = 512
 
 
@@ -136,18 +136,58 @@ def propagate(knn: DataFrame, vectors: DataFrame, k: int, rounds: int = 3, metri
     return nearest(knn, k)
 
 
+#: Rounds in which a large bucket is split at most, and large buckets whose planes are broadcast at most.
+ROUNDS, PLANES = 64, 20_000
+
+
+def split_large(buckets: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(bucket, id): buckets of more than MEET rows split by planes of their own until none is left but those of equal vectors.
+
+    A bucket's plane lies half-way between two of its rows, drawn by a hash of the bucket, which names its tree."""
+    large = saved(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > MEET).select("bucket"))
+
+    def few(some: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(some) if n <= PLANES else some
+
+    n = large.count()
+    if not n:
+        return buckets
+    settled = buckets.join(few(large, n), "bucket", "left_anti")
+    open_ = saved(buckets.join(few(large, n), "bucket", "left_semi").select("bucket", "id"))
+    place = vectors.select("id", doubles("v").alias("v"))
+    for _ in range(ROUNDS):
+        held = open_.join(place, "id")
+        draw = F.xxhash64("bucket", "id")
+        ends = held.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("v", draw).alias("a"), F.max_by("v", draw).alias("b"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        other = F.when(F.col("a") != F.col("b"), F.col("b")).when(F.col("a") != F.col("hi"), F.col("hi")).otherwise(F.col("lo"))
+        planes = saved(ends.where((F.col("n") > MEET) & (F.col("lo") < F.col("hi"))).select("bucket", "a", other.alias("b")))
+        n = planes.count()
+        if not n:
+            break
+        side = F.aggregate(F.zip_with("v", F.arrays_zip("a", "b"), lambda x, e: (x - (e["a"] + e["b"]) / 2) * (e["a"] - e["b"])), F.lit(0.0), lambda p, q: p + q)
+        open_ = saved(held.join(few(planes, n), "bucket", "left").select(F.when(F.col("a").isNull(), F.col("bucket")).otherwise(F.concat("bucket", F.when(side > 0, "1").otherwise("0"))).alias("bucket"), "id"))
+    return settled.unionByName(open_)
+
+
 def leaf_knn(buckets: DataFrame, vectors: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """The ``k`` nearest of each row among those that share a bucket of (bucket, id) with it.
 
-    A bucket is compared in arrays in one place, and at most ``k`` pairs for each of its rows leave it."""
+    Large buckets are split by planes first. A bucket is compared in arrays in one place, and at most ``k`` pairs for each of
+    its rows leave it. A large bucket of equal vectors is dealt by a hash, and its smallest ids, which are the nearest of
+    all its rows, meet every part."""
+    buckets = split_large(buckets, vectors)
     size = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts"))
-    keyed = buckets.join(size, "bucket").select(F.xxhash64("bucket", F.pmod(F.hash("id"), F.col("parts"))).alias("key"), "id")
+    sized = buckets.join(size, "bucket")
+    keyed = sized.select(F.xxhash64("bucket", F.pmod(F.hash("bucket", "id"), F.col("parts"))).alias("key"), F.lit(0).alias("kind"), "id")
+    first = sized.where("parts > 1").withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))).where(F.col("place") <= k + 1)
+    first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.xxhash64("bucket", "part").alias("key"), F.lit(1).alias("kind"), "id")
 
     def meet(rows: pa.Table):
-        ids, v = rows.column("id").to_numpy(), array2d(rows.column("v"))
-        return closest(ids, ids, distances(v, v, metric), k)
+        kind, ids, v = rows.column("kind").to_numpy(), rows.column("id").to_numpy(), array2d(rows.column("v"))
+        own, (names, at) = kind == 0, np.unique(ids, return_index=True)
+        return closest(ids[own], names, distances(v[own], v[at], metric), k)
 
-    met = by_group(keyed.join(vectors.select("id", doubles("v").alias("v")), "id"), "key", meet, NEAR, "id long, nbr long, d2 double")
+    met = by_group(keyed.unionByName(first).join(vectors.select("id", doubles("v").alias("v")), "id").select("key", "kind", "id", "v"), "key", meet, NEAR, "id long, nbr long, d2 double")
     return merged(met, k)
 
 
