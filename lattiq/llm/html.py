@@ -1,13 +1,16 @@
 """Main text of web pages.
 
-A page is cut into flat text blocks. Each has a word count and a link density, and so have the blocks before and after it;
-with where it stands (inside a menu, an article, an element whose class or id speaks of comments ...), these decide in a
-small tree whether the block is main text. The tree is trained on the labelled pages below.
+A page is cut into flat text blocks. Each has a word count and a link density, and so have the two blocks before and after
+it; a small tree decides by these whether the block is main text. Where a page says what its parts are (a menu, an article, an
+element whose class or id speaks of comments ...), that is a further sign. The tree is trained on the labelled pages below, with
+and without such signs, and with blocks of many lengths.
 """
 
 from __future__ import annotations
 
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from html import unescape
@@ -27,15 +30,20 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that an opening tag closes, up to the element that bounds the search.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
+LEFT_OPEN = frozenset("nav footer header form".split())
 #: Words in class, id or role, by what they say of an element.
 ASIDE = frozenset("ad ads adsbygoogle adv advert advertisement advertising adsense adslot adbox banner sponsor sponsored promo promotion sidebar aside rail complementary widget widgets related recommended recommendations recirc popular trending share sharing social follow newsletter subscribe subscription signup login signin register search cookie cookies consent gdpr privacy notice notices alert warning disclaimer popup modal overlay dialog toast paywall menu menus nav navbar navigation navi breadcrumb breadcrumbs pagination pager toolbar topbar masthead skip footer foot colophon contentinfo copyright legal tags tagcloud donate".split())
 COMMENTS = frozenset("comment comments commentlist replies reply respond disqus discussion feedback reactions".split())
 TOP = frozenset("header head masthead banner".split())
 MAIN = frozenset("article articles articlebody content main post entry story body text maincontent prose".split())
-NAMES = ("menu", "top", "bottom", "beside", "form", "comments", "aside", "main", "depth", "nearest", "words", "links", "heading", "before_words", "before_links", "after_words", "after_links", "item", "outside")
+#: Of equally good splits the tree takes the first of these.
+NAMES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "second_before_words", "second_before_links", "second_after_words", "second_after_links", "heading", "paragraph", "item", "notice", "menu", "top", "bottom", "beside", "form", "comments", "aside", "main", "depth", "nearest", "outside")
+#: What notices say, in some of the languages they come in; longer blocks are none.
+NOTICE_WORDS = 40
+NOTICE = re.compile(r"\u00a9|\(c\)|copyright|all rights reserved|alle rechte vorbehalten|tous droits r\u00e9serv\u00e9s|todos los derechos reservados|\bcookies?\b", re.I)
 
 #: A comment, a tag (slash, name, attributes), or what has to be passed over: declarations, tags with an open quote, a tag cut off by the page's end.
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|</?[a-zA-Z][^<>]*(?:>|\Z)|</[^>]*>", re.S)
+TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -44,7 +52,7 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Place:
     """What the elements around a text say: a count for each sign, and the sign of the innermost that has one."""
 
-    __slots__ = ("tag", "menu", "top", "bottom", "beside", "form", "comments", "aside", "main", "nearest", "linked", "heading", "item", "hidden")
+    __slots__ = ("tag", "menu", "top", "bottom", "beside", "form", "comments", "aside", "main", "nearest", "linked", "heading", "paragraph", "item", "hidden")
 
     def __init__(self, tag: str, outer: Place | None, attributes: str):
         for name in self.__slots__[1:]:
@@ -69,6 +77,7 @@ class Place:
         self.hidden = self.hidden or hidden
         self.linked = self.linked or tag == "a"
         self.heading = self.heading or tag in HEADING
+        self.paragraph = tag == "p" or self.paragraph and tag not in BLOCK
 
 
 def blocks(html: str) -> list[tuple[str, int, Place]]:
@@ -87,6 +96,23 @@ def blocks(html: str) -> list[tuple[str, int, Place]]:
                 out.append((text, min(linked, text.count(" ") + 1), place))
             words, linked = [], 0
 
+    opened = Counter()  # elements on the stack by tag
+    inside = [Counter()]  # by block on the stack: elements opened in it that are no blocks
+    endless: set[str] = set()  # skipped elements that have no end from here on
+
+    def drop(depth: int) -> None:
+        """Ends the elements of the stack from ``depth`` on; each is looked at once in its life."""
+        for ended in reversed(stack[depth:]):
+            opened[ended.tag] -= 1
+            if ended.tag in BLOCK:
+                inside.pop()
+            else:
+                inside[-1][ended.tag] -= 1
+        del stack[depth:]
+
+    def innermost(tags: frozenset[str] | set[str]) -> int:
+        return next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in tags)
+
     while at < n:
         m = TOKEN.search(html, at)
         text = html[at : m.start()] if m else html[at:]
@@ -104,58 +130,77 @@ def blocks(html: str) -> list[tuple[str, int, Place]]:
         if m[1]:
             if tag in BLOCK:
                 close()
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth and (tag in BLOCK or not any(s.tag in BLOCK for s in stack[depth:])):
-                del stack[depth:]
+            # An end tag of a block ends all that is open in it, any other only reaches back to the block it stands in.
+            if opened[tag] if tag in BLOCK else inside[-1][tag]:
+                drop(innermost({tag}))
             continue
         if tag in SKIPPED:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
             if end:
                 at = (html.find(">", end.start()) + 1) or n
             elif tag not in ("svg", "math", "select", "object"):
                 at = n
+            else:
+                endless.add(tag)
             continue
         if tag == "br":
             words.append(" ")
             continue
         if tag in BLOCK:
             close()
-            if tag in ("article", "main"):  # never inside these: they were left open
-                depth = next((i for i in range(1, len(stack)) if stack[i].tag in ("nav", "footer", "header", "form")), 0)
-                if depth:
-                    del stack[depth:]
+            if tag in ("article", "main") and any(map(opened.__getitem__, LEFT_OPEN)):  # never inside these: they were left open
+                drop(next(i for i in range(1, len(stack)) if stack[i].tag in LEFT_OPEN))
             if stack[-1].tag == "p" or any(s.tag == "p" for s in stack[-3:]):
-                depth = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p")
-                del stack[depth:]
-            if tag in CLOSES:
+                drop(innermost({"p"}))
+            if tag in CLOSES and any(map(opened.__getitem__, CLOSES[tag][0])):
                 closed, bound = CLOSES[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in bound:
-                        break
-                    if stack[i].tag in closed:
-                        del stack[i:]
-                        break
+                if (depth := innermost(closed | bound)) and stack[depth].tag in closed:
+                    drop(next(i for i in range(depth, -1, -1) if stack[i - 1].tag not in closed))
         if tag not in VOID and not m[3].endswith("/"):
-            if len(stack) < 400:
-                stack.append(Place(tag, stack[-1], m[3]))
+            stack.append(Place(tag, stack[-1], m[3]))
+            opened[tag] += 1
+            if tag in BLOCK:
+                inside.append(Counter())
+            else:
+                inside[-1][tag] += 1
     close()
     return out
 
 
 def features(found: list[tuple[str, int, Place]]) -> list[tuple[float, ...]]:
-    size = [(text.count(" ") + 1, linked) for text, linked, _ in found]
-    density = [linked / words for words, linked in size]
+    size = [(min(text.count(" ") + 1, 60), linked / (text.count(" ") + 1)) for text, linked, _ in found]
+    size = [(0, 0.0), (0, 0.0), *size, (0, 0.0), (0, 0.0)]
     marked = any(p.main and p.nearest > 0 for _, _, p in found)  # the page says where its main text is
     out = []
-    for i, (_, _, p) in enumerate(found):
-        before, after = (size[i - 1][0], density[i - 1]) if i else (0, 0.0), (size[i + 1][0], density[i + 1]) if i + 1 < len(found) else (0, 0.0)
+    for i, (text, _, p) in enumerate(found):
         main = min(p.main, 1)
-        outside = float(marked and not main)
-        out.append((min(p.menu, 1), min(p.top, 1), min(p.bottom, 1), min(p.beside, 1), min(p.form, 1), min(p.comments, 1), min(p.aside, 1), main, p.main, p.nearest, min(size[i][0], 60), density[i], float(bool(p.heading)), min(before[0], 60), before[1], min(after[0], 60), after[1], float(bool(p.item)), outside))
+        numbers = (*size[i + 2], *size[i + 1], *size[i + 3], *size[i], *size[i + 4])
+        signs = (min(p.menu, 1), min(p.top, 1), min(p.bottom, 1), min(p.beside, 1), min(p.form, 1), min(p.comments, 1), min(p.aside, 1), main, p.main, p.nearest, float(marked and not main))
+        out.append((*numbers, float(bool(p.heading)), float(bool(p.paragraph)), float(bool(p.item)), float(numbers[0] <= NOTICE_WORDS and bool(NOTICE.search(text))), *signs))
     return out
 
 
-#: Labelled pages: {k12} stands for a main-text block of twelve words, {n5} for one of five that is not main text.
+#: Labelled pages: {k12} stands for a main-text block of twelve words, {n5} for one of five that is not main text, {m5}
+#: and {c5} for such blocks that also say what notices say. Pages whose markup says nothing: only lengths, links and neighbours tell.
+NEUTRAL = (
+    '<div>{c18}</div><div><a>{n1}</a></div><div><a>{n2}</a></div><div><a>{n1}</a></div><div>{k7}</div><div>{k60}</div><div>{k45}</div><div>{k30}</div><div>{c8}</div>',
+    '<div>{n16}</div><div><a>{n1}</a> <a>{n1}</a> <a>{n2}</a></div><div>{k8}</div><div>{k50}</div><div>{k38}</div><div><a>{n2}</a> <a>{n1}</a></div><div>{c7}</div>',
+    '<p>{c20}</p><p><a>{n1}</a> <a>{n2}</a></p><h1>{k6}</h1><p>{k40}</p><p>{k12}</p><p>{k55}</p><p>{c9}</p>',
+    '<div><a>{n1}</a> <a>{n1}</a> <a>{n2}</a></div><h1>{k6}</h1><p>{k50}</p><p>{k9}</p><p>{k35}</p><div><a>{n4}</a></div><div><a>{n5}</a></div><div>{n7}</div>',
+    '<div><a>{n2}</a></div><div>{k6}</div><div>{k48}</div><div>{k60}</div><div><a>{n5}</a></div><div>{n14}</div><div><a>{n6}</a></div><div>{n13}</div><div><a>{n4}</a></div><div>{n12}</div>',
+    '<div>{n3}</div><div><a>{n1}</a></div><div><a>{n1}</a></div><h2>{k7}</h2><div>{k44}</div><div>{k36}</div><div>{n3}</div><div><a>{n5}</a></div><div><a>{n6}</a></div><div>{c10}</div>',
+    '<table><tr><td><a>{n1}</a></td><td><a>{n2}</a></td></tr><tr><td>{k55}</td></tr><tr><td>{k40}</td></tr><tr><td>{c6}</td></tr></table>',
+    '<div>{k60}</div><div>{k50}</div><div>{k40}</div><div><a>{n1}</a> <a>{n1}</a></div><div>{c12}</div>',
+    '<span>{n2}</span><div><a>{n3}</a></div><div>{k9}</div><div>{k30}</div><div>{k22}</div><div>{k60}</div><div><a>{n2}</a></div>',
+    '<p><a>{n1}</a></p><p><a>{n2}</a></p><p>{k30}</p><p>{k6}</p><p>{k44}</p><p>{k3}</p><p>{k28}</p><p>{c8}</p><p><a>{n1}</a></p>',
+    '<h1>{k5}</h1><p>{k25}</p><ul><li>{k8}</li><li>{k11}</li><li>{k6}</li></ul><p>{k33}</p><ul><li><a>{n3}</a></li><li><a>{n2}</a></li></ul>',
+    '<div><a>{n1}</a></div><div>{n9}</div><div><a>{n1}</a></div><h1>{k7}</h1><p>{k60}</p><p>{k42}</p><div>{n6}</div><div><a>{n2}</a></div>',
+    '<p>{k24}</p><p>{k31}</p><p>{k18}</p><p>{c7}</p>',
+    '<p>{n18}</p><p><a>{n1}</a></p><p><a>{n2}</a> <a>{n1}</a></p><p>{k5}</p><p>{k50}</p><p>{k38}</p><p><a>{n2}</a> <a>{n1}</a></p><p>{c4}</p>',
+    '<p>{n14}</p><p><a>{n1}</a> <a>{n2}</a> <a>{n1}</a></p><p>{k7}</p><p>{k60}</p><p>{k44}</p><p>{k21}</p><p><a>{n3}</a></p><p>{c6}</p>',
+    '<div>{c22}</div><p>{k24}</p><p>{k31}</p><p>{k18}</p>',
+)
+#: Pages whose markup says what their parts are, some of it wrongly or in part.
 LABELLED = (
     '<nav><ul><li><a>{n1}</a></li><li><a>{n1}</a></li><li><a>{n2}</a></li></ul></nav><div class="ad">{n9}</div><article><h1>{k8}</h1><p>{k40}</p><p>{k6}</p><p>{k1}</p><p>{k30}</p></article><footer>{n12}</footer>',
     '<nav><a>{n1}</a></nav><div class="ad">{n30}</div><article><h1>{k1}</h1><p>{k2}</p></article><footer>{n40}</footer>',
@@ -184,15 +229,32 @@ LABELLED = (
     '<nav><a>{n2}</a></nav><article><p>{k2}</p></article><nav><a>{n1}</a></nav>',
     '<nav><a>{n2}</a></nav><h1>{k2}</h1><p>{k40}</p><p>{k3}</p>',
     '<nav><a>{n2}</a></nav><p>{k3}</p><p>{k40}</p>',
+    '<nav><a>{n2}</a></nav><article><h1>{k5}</h1><p>{k30}</p><p>{m4}</p></article><footer>{c12}</footer>',
+    '<nav><a>{n2}</a></nav><article><p>{m5}</p><p>{k30}</p><p>{m14}</p><p>{k8}</p></article><footer>{c6}</footer>',
+    '<div class="cookies">{c15}</div><main><h1>{m6}</h1><p>{m24}</p></main><div id="footer">{c9}</div>',
     '<main><header><h1>{k5}</h1><p>{k12}</p></header><p>{k31}</p><div class="disclaimer">{n20}</div></main>',
 )
 
 
-def labelled() -> list[tuple[tuple[float, ...], int]]:
-    rows = []
-    for page in LABELLED:
-        found = blocks(re.sub(r"\{([kn])(\d+)\}", lambda m: " ".join([m[1]] * int(m[2])), page))
-        rows += [(x, int(text[0] == "k")) for x, (text, _, _) in zip(features(found), found)]
+def labelled(copies: int = 12, seed: int = 1) -> list[tuple[tuple[float, ...], int]]:
+    """The rows that the tree learns from: the pages as they are, and copies with other lengths. Where markup tells, a block
+    can have any length; where it doesn't, lengths stay within a third of what they were."""
+    draw, rows = random.Random(seed), []
+
+    def filled(page: str, other: bool, told: bool) -> str:
+        def block(m: re.Match) -> str:
+            n = int(m[2])
+            if other:
+                n = round(2 ** draw.uniform(0, 6)) if told else max(1, round(n * draw.uniform(0.67, 1.5)))
+            return " ".join(["k" if m[1] in "km" else "n"] * n) + (" \u00a9" if m[1] in "cm" else "")
+
+        return re.sub(r"\{([kmnc])(\d+)\}", block, page)
+
+    for page in (*LABELLED, *NEUTRAL):
+        told = page in LABELLED and any(sign in page for sign in ("<nav", "<main", "<article", "class=", "id=", "role="))
+        for copy in range(1 + copies):
+            found = blocks(filled(page, copy > 0, told))
+            rows += [(x, int(text[0] == "k")) for x, (text, _, _) in zip(features(found), found)]
     return rows
 
 
@@ -201,14 +263,14 @@ def tree() -> Node:
     return grow(labelled())
 
 
-def main_text(html: str) -> str:
-    found = blocks(html)
-    return "\n".join(text for x, (text, _, _) in zip(features(found), found) if decide(tree(), x) >= 0.5)
+def main_text(html: str, node: Node | None = None) -> str:
+    found, node = blocks(html), node or tree()
+    return "\n".join(text for x, (text, _, _) in zip(features(found), found) if decide(node, x) >= 0.5)
 
 
-def extract_rows(rows: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def extract_rows(rows: Iterator[pa.RecordBatch], node: Node, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in rows:
-        found = [main_text(h or "") for h in batch.column("html").to_pylist()]
+        found = [main_text(h or "", node) for h in batch.column("html").to_pylist()]
         yield record(schema, *(batch.column(n) for n in schema.names[:-2]), found, [len(t) for t in found])
 
 
@@ -220,4 +282,4 @@ def extract(pages: DataFrame, id_column: str = "page_id") -> DataFrame:
     id_type, url_type = (pages.schema[c].dataType for c in (id_column, "url"))
     schema = pa.schema([(id_column, _arrow(id_type)), ("url", _arrow(url_type)), ("text", pa.string()), ("n_chars", pa.int64())])
     rows = pages.select(id_column, "url", F.col("html").alias("html"))
-    return rows.mapInArrow(partial(extract_rows, schema=schema), f"{id_column} {id_type.simpleString()}, url {url_type.simpleString()}, text string, n_chars long")
+    return rows.mapInArrow(partial(extract_rows, node=tree(), schema=schema), f"{id_column} {id_type.simpleString()}, url {url_type.simpleString()}, text string, n_chars long")
