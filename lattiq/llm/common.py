@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattiq.functions.lineage import saved  # noqa: F401  for the operators
@@ -21,6 +21,12 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` saved, and how many rows it has."""
+    seen = Observation()
+    return saved(df.observe(seen, F.count(F.lit(1)).alias("n"))), seen.get["n"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,14 +49,18 @@ def remainder(id_column: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))), F.lit(modulus))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """At most ``per_class`` labelled documents of each class of ``label`` as (doc_id, text, label).
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, bytes_per_class: int = 16 << 20) -> DataFrame:
+    """At most ``per_class`` labelled documents, of ``bytes_per_class`` bytes together, of each class of ``label`` as
+    (doc_id, text, label).
 
     The rows taken are the first in the order of a hash of their id, so that the sample is the same on every run. A doc_id
-    labelled twice counts with its larger label; null ids and labels are left out. Only ids of the sample are broadcast,
-    2 x ``per_class`` rows at most.
+    labelled twice counts with its larger label, one with several texts with the first of them in order; null ids and labels
+    are left out, as are texts of more than a 64th of those bytes. Only ids of the sample are broadcast, 2 x ``per_class``
+    rows at most; texts are taken whole.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     taken = marks.where("label = 1").orderBy(*order).limit(per_class).unionByName(marks.where("label = 0").orderBy(*order).limit(per_class))
-    return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    found = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= bytes_per_class // 64).join(F.broadcast(taken), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    upto = Window.partitionBy("label").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of a bounded number of rows
+    return found.withColumn("bytes", F.sum(F.octet_length("text")).over(upto)).where(F.col("bytes") <= bytes_per_class).select("doc_id", "text", "label")

@@ -151,7 +151,7 @@ def score_rows(rows: Iterator[pa.RecordBatch], model: Model, schema: pa.Schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, fold: int | None = 3) -> Model:
-    """A model from at most ``per_class`` labelled documents of each class; with ``fold``, rows whose crc32 of the id modulo
+    """A model from at most ``per_class`` labelled documents (and 16 MiB of text) of each class; with ``fold``, rows whose crc32 of the id modulo
     ``fold`` is 1 are kept out. Without labels of both classes every score is the share of label 1, a half if
     there is no label."""
     ready(docs.sparkSession)

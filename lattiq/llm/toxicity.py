@@ -1,14 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries hold the same ordinary text. One of them also holds strings that set toxic training documents
-apart (its last bytes, which are the cheapest to refer to), the other one the same bytes reversed, so that both have the
-same size. A text's windows are compressed with either; a window that is shorter under the toxic dictionary holds toxic
+Two zstandard dictionaries are trained, one on ordinary and one on toxic documents. Toxic documents are mostly ordinary text
+too, so both hold the same part trained on ordinary documents; behind it, the toxic one has a part trained on the words that
+toxic documents use significantly more often than ordinary ones. The ordinary one has as many bytes more of its own class
+instead. A text's windows are compressed with either; a window that is shorter under the toxic dictionary holds toxic
 material. A logistic fit over how large and how frequent those savings are gives a calibrated probability.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
@@ -26,10 +26,12 @@ from lattiq.llm.bpe import _arrow
 from lattiq.llm.common import labelled_sample, ready, record, remainder, texts
 
 WINDOW, STRIDE, LEVEL, MIN_MATCH = 64, 52, 9, 6
-#: Bytes of a string that can enter the toxic dictionary, of all such strings, and of ordinary text in both dictionaries.
-GRAM, TOXIC_BYTES, ORDINARY_BYTES = 6, 1536, 32768
-#: A string enters if it is so many times as frequent in toxic documents, and until each of these holds so many strings.
-RATIO, COVER = 8, 14
+#: Bytes of the part that both dictionaries share and of the part that each has of its own class.
+SHARED_BYTES, OWN_BYTES = 131072, 2048
+#: A word counts as one of a class if it is surely (by so many standard deviations of its count) so many times as frequent there.
+RATIO, SURE = 4, 2
+#: Length of the strings that the trainer counts, and of the segments that it takes, for whole texts and for words.
+COVER, COVER_WORDS = {"d": 8, "k": 64}, {"d": 6, "k": 16}
 #: Savings of a window are counted up to this; measures of a text that the probability is fitted on.
 SAVED, MEASURES = 13, 10
 
@@ -52,18 +54,6 @@ def normal(text: str) -> bytes:
     return f" {NOT_WORD.sub(' ', text.lower()).strip()} ".encode("utf-8", "replace")
 
 
-def grams(data: bytes) -> np.ndarray:
-    """The distinct strings of GRAM bytes as integers."""
-    b = np.frombuffer(data, np.uint8).astype(np.uint64)
-    n = len(b) - GRAM + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    code = np.zeros(n, np.uint64)
-    for i in range(GRAM):
-        code = (code << np.uint64(8)) | b[i : i + n]
-    return np.unique(code)
-
-
 def different(data: list[bytes]) -> list[int]:
     """Positions of documents of which none is a near copy of an earlier one: those that share the least hash of their
     strings of 24 bytes, for either of two hashes, are taken for copies. This is for the choice of strings only."""
@@ -82,64 +72,33 @@ def different(data: list[bytes]) -> list[int]:
     return keep
 
 
-def extended(string: bytes, data: list[bytes]) -> bytes:
-    """``string`` with the bytes around it that most of its occurrences in ``data`` share."""
-    while len(string) < 2 * GRAM:
-        after, before = Counter(), Counter()
-        for d in data:
-            at = d.find(string)
-            while at >= 0:
-                after[d[at + len(string) : at + len(string) + 1]] += 1
-                before[d[max(0, at - 1) : at]] += 1
-                at = d.find(string, at + 1)
-        total = max(1, sum(after.values()))
-        (right, n), (left, m) = after.most_common(1)[0], before.most_common(1)[0]
-        if right and n >= max(0.7 * total, m if left else 0):
-            string += right
-        elif left and m >= 0.7 * total:
-            string = left + string
-        else:
-            break
-    return string
-
-
-def toxic_strings(toxic: list[np.ndarray], ordinary: list[np.ndarray], data: list[bytes]) -> bytes:
-    """Strings that together cover the toxic documents (each twice, if possible) and occur in few ordinary ones, the best last.
-    ``data``: the toxic documents."""
-    nt, no = max(1, len(toxic)), max(1, len(ordinary))
-    codes = np.concatenate(toxic) if toxic else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(toxic)), [len(x) for x in toxic])
-    order = np.argsort(codes, kind="stable")
-    codes, owner = codes[order], owner[order]
-    names, first, count = np.unique(codes, return_index=True, return_counts=True)
-    seen = np.zeros(len(names), np.int64)
-    for x in ordinary:
-        at = np.searchsorted(names, x)
-        hit = at < len(names)
-        at, x = at[hit], x[hit]
-        np.add.at(seen, at[names[at] == x], 1)
-    least = max(4, round(0.012 * nt))
-    fit = np.flatnonzero((count >= least) & (count * no > RATIO * (seen + 0.5) * nt))
-    cost = seen * (nt / no)
-    covered = np.zeros(max(1, len(toxic)), np.int64)
-    heap = [(-(count[i] - cost[i]), int(names[i]), int(i)) for i in fit]
-    heapq.heapify(heap)
-    out = b""
-    while heap and len(out) < TOXIC_BYTES:
-        _, name, i = heapq.heappop(heap)
-        string = name.to_bytes(GRAM, "big")
-        if string in out:
-            continue
-        owners = owner[first[i] : first[i] + count[i]]
-        gain = float((covered[owners] < COVER).sum() - cost[i])
-        if heap and gain < -heap[0][0]:
-            heapq.heappush(heap, (-gain, name, i))
-            continue
-        if gain < least:
-            break
-        covered[owners] += 1
-        out = extended(string, [data[i] for i in owners[:200]]) + out
-    return out
+def words_of(own: list[bytes], others: list[bytes]) -> set[bytes]:
+    """Words that are in significantly more of ``own`` documents than in ``others``."""
+    here, there = (Counter(w for d in data for w in set(d.split())) for data in (own, others))
+    least = RATIO / max(1, len(others))
+    return {w for w, n in here.items() if (n - SURE * math.sqrt(n)) / len(own) > least * (there[w] + 1)}
+
+
+def only(data: bytes, words: set[bytes]) -> bytes:
+    """A document without all other words; words that follow one another stay together."""
+    return b" " + b" ".join(w for w in data.split() if w in words) + b" "
+
+
+def trained(samples: list[bytes], size: int, cover: dict[str, int]) -> bytes:
+    """The bytes of a dictionary that zstandard trains on the samples; the last of the samples themselves if they are too few."""
+    samples = [s for s in samples if len(s) > 2]
+    try:
+        return zstandard.train_dictionary(size, samples, **cover).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """Contents of the two dictionaries, of one size; what is likeliest to be of use is last."""
+    plain = trained(ordinary, SHARED_BYTES + OWN_BYTES, COVER).rjust(SHARED_BYTES + OWN_BYTES, b"\n")
+    words = words_of(toxic, ordinary) if toxic else set()
+    own = trained([only(d, words) for d in toxic], OWN_BYTES, COVER_WORDS)
+    return (plain[len(own) :] if own else plain) + own, plain
 
 
 def compressors(toxic: bytes, ordinary: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
@@ -149,7 +108,7 @@ def compressors(toxic: bytes, ordinary: bytes) -> tuple[zstandard.ZstdCompressor
         held.precompute_compress(compression_params=settings)
         return zstandard.ZstdCompressor(dict_data=held, compression_params=settings)
 
-    return one(ordinary + toxic[::-1]), one(ordinary + toxic)
+    return one(ordinary), one(toxic)
 
 
 def savings(data: bytes, plain: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> np.ndarray:
@@ -208,28 +167,25 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model:
     texts would save too much."""
     data = [normal(t) for t, _ in rows]
     y = np.array([m for _, m in rows], dtype=float)
-    each = [grams(d) for d in data]
     single = different(data)
 
-    def dictionaries(use: list[int]) -> tuple[bytes, bytes]:
-        ordinary = b""
-        for i in use:
-            if not y[i] and len(ordinary) < ORDINARY_BYTES:
-                ordinary += data[i][:512]
-        return toxic_strings([each[i] for i in use if y[i]], [each[i] for i in use if not y[i]], [data[i] for i in use if y[i]]), ordinary[:ORDINARY_BYTES]
+    def made(use: list[int]) -> tuple[bytes, bytes]:
+        return dictionaries([data[i] for i in use if y[i]], [data[i] for i in use if not y[i]])
 
     counts = np.zeros((len(rows), SAVED), np.int64)
     for half in (0, 1):
-        pair = compressors(*dictionaries([i for i in single if i % 2 != half]))
+        pair = compressors(*made([i for i in single if i % 2 != half]))
         for i in range(half, len(rows), 2):
             counts[i] = savings(data[i], *pair)
-    shares = [(np.minimum(counts[y == label], 200).sum(axis=0) + 1.0) for label in (0, 1)]
+    # Windows of a class by their saving; every document weighs the same.
+    share_of = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
+    shares = [share_of[y == label].sum(axis=0) + 0.1 for label in (0, 1)]
     odds = np.log(shares[1] / shares[1].sum()) - np.log(shares[0] / shares[0].sum())
     x = measures(counts, odds)
     mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(rows) else (np.zeros(MEASURES), np.ones(MEASURES))
     z = np.hstack([(x - mean) / scale, np.ones((len(rows), 1))])
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)) if len(rows) else y
-    toxic, ordinary = dictionaries(single)
+    toxic, ordinary = made(single)
     weights = at_best_threshold(logistic(z, y, weight), z, y, weight) if 0 < y.sum() < len(y) else np.array([0.0] * MEASURES + [math.log(share / (1 - share))])
     return Model(toxic, ordinary, tuple(odds), tuple(mean), tuple(scale), tuple(weights))
 
@@ -248,7 +204,7 @@ def score_rows(rows: Iterator[pa.RecordBatch], model: Model, schema: pa.Schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, fold: int | None = 5) -> Model:
-    """A model from at most ``per_class`` labelled documents of each class; with ``fold``, rows whose crc32 of the id modulo
+    """A model from at most ``per_class`` labelled documents (and 16 MiB of text) of each class; with ``fold``, rows whose crc32 of the id modulo
     ``fold`` is 0 are kept out. Without labels of both classes every score is the share of toxic labels, a quarter if
     there is no label."""
     ready(docs.sparkSession)

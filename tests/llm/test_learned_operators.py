@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattiq.llm import quality, toxicity
-from lattiq.llm.common import remainder
+from lattiq.llm.common import labelled_sample, remainder
 
 DOCS = "doc_id long, text string, label int, score double"
 
@@ -87,6 +87,28 @@ def test_filters_keep_all_columns(given):
         assert 0 < kept.count() < docs.count()
 
 
+def test_dictionaries_are_trained_on_their_class(given):
+    docs, labels = given
+    texts = {r.doc_id: toxicity.normal(r.text) for r in docs.collect()}
+    toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    data = [[t for i, t in texts.items() if (i in toxic) == side] for side in (True, False)]
+    words = toxicity.words_of(*data)
+    assert words and all(w.startswith((b"zogvik", b"mubrax")) for w in words)
+    own, plain = toxicity.dictionaries(*data)
+    assert len(own) == len(plain) and b"zogvik" in own and b"mubrax" in own and b"zogvik" not in plain
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(1, "a b")] * 50 + [(1, "c")] + [(i, "x" * 100) for i in range(2, 40)] + [(40, "y" * 10000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 41)], "doc_id long, toxic int")
+    none = labelled_sample(docs, labels, "toxic", 100, bytes_per_class=64).collect()
+    assert [r.doc_id for r in none] == [1]
+    rows = labelled_sample(docs, labels, "toxic", 10).collect()
+    assert len(rows) == 20 and len({r.doc_id for r in rows}) == 20
+    few = labelled_sample(docs, labels, "toxic", 100, bytes_per_class=6400).collect()
+    assert len(few) == 39 and all(len(r.text) <= 100 for r in few)
+
+
 def test_windows_cover_the_text():
     pair = toxicity.compressors(b"zogvik", b"an er st re")
     for n in (1, 63, 64, 65, 115, 116, 117, 1000):
