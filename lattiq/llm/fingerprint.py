@@ -1,32 +1,43 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a line; long ones are cut further where the bytes themselves say so, so that an edit moves no cut but its
-own. Each paragraph's digest is added to one cell in each of three parts of the sketch (a count, a sum of digests and a sum
-of their checksums). Subtracting the sketches of two versions cancels what they share; cells with a single digest left then
-give it away, and taking it out of its other cells frees more, until nothing is left. If cells stay, the versions differ in
-too many paragraphs for the sketch, and both are sketched anew four times as large.
+A paragraph is a line; a longer one is cut behind sentences, and those without end behind words, where their hashes say so, so
+that an edit moves no cut but its own. Each paragraph's digest is added to one cell in each of three parts of the sketch (a
+count, a sum of digests and a sum of their checksums). Subtracting the sketches of two versions cancels what they share; cells
+with a single digest left then give it away, and taking it out of its other cells frees more, until nothing is left. If cells
+stay, the versions differ in too many paragraphs for the sketch, and it is tried again twice as large.
+
+A fingerprint is the smallest sketch that gives away all of a text's own digests, so that it depends on the text alone and any
+two fingerprints tell by themselves what their texts share (``compared_fingerprints``).
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.llm.bpe import _arrow
 from lattiq.llm.common import partitions, ready, record, texts
 
 #: Cells of the smallest sketch (in three parts), growth on failure, and cells held at once.
-CELLS, GROWTH, AT_ONCE = 15, 4, 1 << 20
-#: A cut after each byte with a probability of 1 / 16.
-CUT_MASK = np.uint64(15)
-PAD = 8
+CELLS, GROWTH, AT_ONCE = 15, 2, 1 << 18
+#: Lines of so many characters are cut; sentences of so many are cut behind words.
+LINE, SENTENCE = 128, 400
+#: Of sentences and of words, one in so many has a cut behind it.
+PER_SENTENCE, PER_WORD = 3, 6
+#: Rows and characters that are compared at once, and bytes of texts that a task is given.
+ROWS, CHARS, TASK_BYTES = 200, 2 << 20, 32 << 20
+#: Ranges at most, and rows of the sample that finds each one's bounds.
+RANGES, PER_RANGE = 10_000, 32
+END = re.compile(r"(?<=[.!?\u2026\u3002])\s+")
 
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -35,46 +46,49 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def paragraphs(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def grouped(parts: list[str], per: int) -> Iterator[str]:
+    """``parts`` put together, with an end behind those whose hash (of a few characters and the length) says so."""
+    start = 0
+    for i, part in enumerate(parts, 1):
+        if (len(part) * 7 + ord(part[0]) * 3 + ord(part[len(part) // 2]) * 5 + ord(part[len(part) // 3])) // 3 % per == 0 or i == len(parts):
+            yield " ".join(parts[start:i])
+            start = i
+
+
+def paragraphs_of(text: str) -> Iterator[str]:
+    """The paragraphs of one text, without white space around them; empty lines are none."""
+    for line in text.split("\n"):
+        line = line.strip()
+        if len(line) <= LINE:
+            if line:
+                yield line
+            continue
+        for part in grouped(END.split(line), PER_SENTENCE):
+            if len(part) <= SENTENCE:
+                yield part
+            else:
+                yield from grouped(part.split(), PER_WORD)
+
+
+def paragraphs(data: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Digests of the paragraphs of each text and how many each has. The nth repetition of a paragraph has a digest of its own."""
-    if not any(data):
-        return np.empty(0, np.uint64), np.zeros(len(data), np.int64)
-    b = np.frombuffer(b"".join(b"\0" * PAD + d for d in data), np.uint8)
-    size = np.array([len(d) for d in data])
-    start = np.cumsum(size + PAD) - size
-    window = np.zeros(len(b), np.uint64)  # the eight bytes up to each place
-    wide = b.astype(np.uint64)
-    for k in range(8):
-        window[k:] |= wide[: len(b) - k] << np.uint64(8 * k)
-    value = mix(window, 1)
-    recent = (window & np.uint64(0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
-    ends = ((recent >> np.uint64(40)) & CUT_MASK) == 0
-    ends |= b == 10
-    # Bounds are the starts of texts and the places after cuts; text that lies in the padding is nobody's.
-    begins = np.zeros(len(b) + 1, bool)
-    begins[1:] = ends
-    pad = (start[:, None] - 1 - np.arange(PAD)).ravel()
-    begins[pad] = False
-    begins[start - PAD] = True
-    begins[start[size > 0]] = True
-    at = np.flatnonzero(begins[:-1])
-    owner = np.searchsorted(start - PAD, at, side="right") - 1
-    real = at >= start[owner]
-    digest = mix(np.add.reduceat(value, at), 2)[real]
-    owner = owner[real]
+    each = [np.fromiter((xxhash.xxh64_intdigest(p.encode("utf-8", "replace")) for p in paragraphs_of(t)), np.uint64) for t in data]
+    sizes = np.array([len(e) for e in each], np.int64)
+    digest = np.concatenate([*each, np.empty(0, np.uint64)])
+    owner = np.repeat(np.arange(len(data)), sizes)
     order = np.lexsort((digest, owner))
     digest, owner = digest[order], owner[order]
     first = np.ones(len(digest), bool)
     first[1:] = (digest[1:] != digest[:-1]) | (owner[1:] != owner[:-1])
     place = np.arange(len(digest))
     again = place - np.maximum.accumulate(np.where(first, place, 0))
-    return mix(digest + again.astype(np.uint64) * np.uint64(0xD1342543DE82EF95), 3), np.bincount(owner, minlength=len(data))
+    return mix(digest + again.astype(np.uint64) * np.uint64(0xD1342543DE82EF95), 3), sizes
 
 
 def places(digest: np.ndarray, cells: int) -> np.ndarray:
     """The cells of each digest, one in each third."""
     third = cells // 3
-    return np.stack([(mix(digest, 11 + 7 * k + cells) % np.uint64(third)).astype(np.int64) + k * third for k in range(3)])
+    return np.stack([(mix(digest, 11 + 7 * k) % np.uint64(third)).astype(np.int64) + k * third for k in range(3)])
 
 
 class Sketches:
@@ -84,25 +98,24 @@ class Sketches:
         self.n, self.cells = n, cells
         self.count = np.zeros(n * cells, np.int64)
         self.key = np.zeros(n * cells, np.uint64)
-        self.check = np.zeros(n * cells, np.uint64)
+        self.check = np.zeros(n * cells, np.uint32)
 
     def add(self, owner: np.ndarray, digest: np.ndarray, sign: np.ndarray) -> None:
-        """``sign`` is 1 or -1 of type uint64 (that is, its largest number for -1)."""
-        check = mix(digest, 5) * sign
-        key = digest * sign
+        """``sign`` is 1 or -1."""
+        key, check = digest * sign.view(np.uint64), mix(digest, 5).astype(np.uint32) * sign.astype(np.uint32)
         for at in places(digest, self.cells) + owner * self.cells:
-            np.add.at(self.count, at, sign.view(np.int64))
+            np.add.at(self.count, at, sign)
             np.add.at(self.key, at, key)
             np.add.at(self.check, at, check)
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray]:
-        """How many digests each sketch gave away, and whether it is empty after that."""
-        got = np.zeros(self.n, np.int64)
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Owner and digest of all that the sketches gave away, and by sketch whether it is empty after that."""
+        got = [(np.empty(0, np.int64), np.empty(0, np.uint64))]
         todo = np.flatnonzero(np.abs(self.count) == 1)
         while len(todo):
-            sign = self.count[todo].astype(np.uint64)
-            key = self.key[todo] * sign
-            pure = (np.abs(self.count[todo]) == 1) & (mix(key, 5) * sign == self.check[todo])
+            sign = self.count[todo]
+            key = self.key[todo] * sign.view(np.uint64)
+            pure = (np.abs(sign) == 1) & (mix(key, 5).astype(np.uint32) * sign.astype(np.uint32) == self.check[todo])
             owner, key, sign = todo[pure] // self.cells, key[pure], sign[pure]
             order = np.lexsort((key, owner))
             owner, key, sign = owner[order], key[order], sign[order]
@@ -111,49 +124,76 @@ class Sketches:
             owner, key, sign = owner[once], key[once], sign[once]
             if not len(key):
                 break
-            self.add(owner, key, (0 - sign.view(np.int64)).view(np.uint64))
-            got += np.bincount(owner, minlength=self.n)
+            self.add(owner, key, -sign)
+            got.append((owner, key))
             todo = np.unique(places(key, self.cells) + owner * self.cells)
         left = (self.count != 0) | (self.key != 0) | (self.check != 0)
-        return got, ~left.reshape(self.n, self.cells).any(axis=1)
+        return np.concatenate([o for o, _ in got]), np.concatenate([k for _, k in got]), ~left.reshape(self.n, self.cells).any(axis=1)
 
     def spelt(self, sizes: np.ndarray) -> list[str]:
         """Each sketch as text: its number of paragraphs and its cells."""
-        rows = np.concatenate([self.count.astype("<i4").view(np.uint8).reshape(self.n, -1), self.key.astype("<u8").view(np.uint8).reshape(self.n, -1), self.check.astype("<u8").view(np.uint8).reshape(self.n, -1)], axis=1)
-        return [f"{int(size):x}.{base64.b85encode(row.tobytes()).decode()}" for size, row in zip(sizes, rows)]
+        rows = np.concatenate([x.view(np.uint8).reshape(self.n, -1) for x in (self.count.astype("<i4"), self.key.astype("<u8"), self.check.astype("<u4"))], axis=1)
+        return [f"{int(size):x}.{base64.b64encode(row.tobytes()).decode()}" for size, row in zip(sizes, rows)]
+
+
+def rows_of(sizes: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Where the digests of ``some`` texts stand, one text after another."""
+    n = sizes[some]
+    return np.repeat((np.cumsum(sizes) - sizes)[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def sketch(digest: np.ndarray, sizes: np.ndarray, cells: int = CELLS) -> Sketches:
-    out = Sketches(len(sizes), cells)
-    out.add(np.repeat(np.arange(len(sizes)), sizes), digest, np.ones(len(digest), np.uint64))
+def sketch(digest: np.ndarray, sizes: np.ndarray, some: np.ndarray, cells: int) -> Sketches:
+    out = Sketches(len(some), cells)
+    out.add(np.repeat(np.arange(len(some)), sizes[some]), digest[rows_of(sizes, some)], np.ones(int(sizes[some].sum()), np.int64))
+    return out
+
+
+def fingerprints(digest: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """Of each text the smallest sketch that gives away all of its digests."""
+    out, todo, cells = [""] * len(sizes), np.arange(len(sizes)), CELLS
+    while len(todo):
+        large = sizes[todo] > cells  # no sketch gives away more digests than it has cells
+        failed, todo = [todo[large]], todo[~large]
+        per = max(1, AT_ONCE // cells)
+        for lo in range(0, len(todo), per):
+            some = todo[lo : lo + per]
+            made = sketch(digest, sizes, some, cells)
+            names = made.spelt(sizes[some])
+            done = made.peel()[2]
+            for i in np.flatnonzero(done):
+                out[some[i]] = names[i]
+            failed.append(some[~done])
+        todo, cells = np.concatenate(failed), cells * GROWTH
     return out
 
 
+def recovered(fingerprint: str) -> np.ndarray:
+    """All digests that a fingerprint holds."""
+    data = base64.b64decode(fingerprint.split(".", 1)[1])
+    one = Sketches(1, len(data) // 16)
+    one.count = np.frombuffer(data, "<i4", one.cells).astype(np.int64)
+    one.key = np.frombuffer(data, "<u8", one.cells, 4 * one.cells).astype(np.uint64)
+    one.check = np.frombuffer(data, "<u4", one.cells, 12 * one.cells).astype(np.uint32)
+    return one.peel()[1]
+
+
 def differences(digest: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """By pair of texts, the number of paragraphs that only one of them has, found by subtracting and peeling."""
-    starts = np.cumsum(sizes) - sizes
     out = np.full(len(left), -1, np.int64)
     todo, cells = np.arange(len(left)), CELLS
-    base = sketch(digest, sizes)
-    shape = (len(sizes), CELLS)
+    least = np.abs(sizes[left] - sizes[right])
     while len(todo):
-        failed = []
+        large = least[todo] > cells
+        failed, todo = [todo[large]], todo[~large]
         per = max(1, AT_ONCE // cells)
         for lo in range(0, len(todo), per):
             some = todo[lo : lo + per]
-            a, b = left[some], right[some]
-            pair = Sketches(len(some), cells)
-            if cells == CELLS:
-                for name in ("count", "key", "check"):
-                    values = getattr(base, name).reshape(shape)
-                    setattr(pair, name, (values[a] - values[b]).ravel())
-            else:
-                for text, sign in ((a, np.uint64(1)), (b, np.uint64((1 << 64) - 1))):
-                    n = sizes[text]
-                    at = np.repeat(starts[text] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    pair.add(np.repeat(np.arange(len(some)), n), digest[at], np.full(len(at), sign))
-            got, done = pair.peel()
-            out[some[done]] = got[done]
+            pair = sketch(digest, sizes, left[some], cells)
+            other = sketch(digest, sizes, right[some], cells)
+            for name in ("count", "key", "check"):
+                setattr(pair, name, getattr(pair, name) - getattr(other, name))
+            owner, _, done = pair.peel()
+            out[some[done]] = np.bincount(owner, minlength=len(some))[done]
             failed.append(some[~done])
         todo, cells = np.concatenate(failed), cells * GROWTH
     return out
@@ -165,6 +205,13 @@ def likeness(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
     return np.where(total == 0, 1.0, (a + b - apart) / np.maximum(total, 1))
 
 
+def compared_fingerprints(a: str, b: str) -> float:
+    """The likeness of two texts by their fingerprints alone."""
+    held = [recovered(a), recovered(b)]
+    sizes = np.array([len(h) for h in held])
+    return float(likeness(sizes[:1], sizes[1:], differences(np.concatenate(held), sizes, np.array([0]), np.array([1])))[0])
+
+
 def edited_text(text: str, following: str) -> str:
     """``text`` with its last third replaced by as much of the start of ``following``."""
     k = len(text) // 3
@@ -172,31 +219,35 @@ def edited_text(text: str, following: str) -> str:
 
 
 def compare_rows(rows: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket and place; a row's next is the one after it, and a bucket ends with a copy of the next one's first."""
+    """Rows come sorted by place; a row's next is the one after it, and a range ends with a copy of the next one's first."""
     waiting: list[tuple] = []
+    held = 0
     for batch in rows:
-        found = list(zip(batch.column("bucket").to_pylist(), batch.column("carried").to_pylist(), batch.column("id").to_pylist(), texts(batch, "text")))
-        waiting += found
-        for lo in range(0, len(waiting) - 1, 200):
-            part = waiting[lo : lo + 201]
-            if out := compared(part, schema):
-                yield out
-        waiting = waiting[-1:]
+        for row in zip(batch.column("carried").to_pylist(), batch.column("id").to_pylist(), texts(batch, "text")):
+            waiting.append(row)
+            held += len(row[2])
+            if len(waiting) > ROWS or held > CHARS and len(waiting) > 1:
+                if out := compared(waiting, schema):
+                    yield out
+                waiting = waiting[-1:]
+                held = len(row[2])
+    if len(waiting) > 1 and (out := compared(waiting, schema)):
+        yield out
 
 
 def compared(part: list[tuple], schema: pa.Schema) -> pa.RecordBatch | None:
     """All rows of ``part`` but its last, unless they are carried."""
-    own = [i for i in range(len(part) - 1) if not part[i][1]]
+    own = [i for i in range(len(part) - 1) if not part[i][0]]
     if not own:
         return None
-    plain = [t.encode("utf-8", "replace") for *_, t in part]
-    edited = [edited_text(part[i][3], part[i + 1][3]).encode("utf-8", "replace") for i in own]
-    digest, sizes = paragraphs(plain + edited)
+    edited = [edited_text(part[i][2], part[i + 1][2]) for i in own]
+    digest, sizes = paragraphs([t for *_, t in part] + edited)
     mine, changed = np.array(own), len(part) + np.arange(len(own))
     apart = differences(digest, sizes, np.concatenate([mine, mine]), np.concatenate([changed, mine + 1]))
-    names = sketch(digest, sizes).spelt(sizes)
+    names = fingerprints(digest, sizes)
     near = likeness(sizes[mine], sizes[changed], apart[: len(own)]), likeness(sizes[mine], sizes[mine + 1], apart[len(own) :])
-    return record(schema, [part[i][2] for i in own], [len(part[i][3]) for i in own], [hashlib.sha256(e).hexdigest() for e in edited], [names[i] for i in own], [names[i] for i in changed], *near)
+    digests = [hashlib.sha256(e.encode("utf-8", "replace")).hexdigest() for e in edited]
+    return record(schema, [part[i][1] for i in own], [len(part[i][2]) for i in own], digests, [names[i] for i in own], [names[i] for i in changed], *near)
 
 
 def compare_with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -205,18 +256,19 @@ def compare_with_next(docs: DataFrame, id_column: str = "doc_id", text_column: s
     The next row is that with the next smaller id (of equal ids, the next by the text's hash; rows without an id come last,
     after the last comes the first, which for a single row is itself). Null texts are empty; repeated rows repeat.
 
-    Ids are cut into ranges that hold about as many rows each. The first row of each range, one for a task, is what the
-    range before it needs besides its own rows, so the texts are shuffled once.
+    Rows are cut into ranges of that order, by id and hash, so that rows that share an id are parted too. The first row of each
+    range, one for a task, is what the range before it needs besides its own rows, so the texts are shuffled once.
     """
     spark = ready(docs.sparkSession)
     kind = docs.schema[id_column].dataType
-    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    order = -F.coalesce(F.col("id").cast("double"), F.lit(float("-inf")))  # ascending; only for the choice of ranges
-    n = partitions(spark)
-    cuts = rows.select(F.percentile_approx(order, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted({c for c in cuts if c != float("inf")})
-    bucket = ranged(order, cuts) if cuts else F.lit(0)
-    rows = rows.withColumn("bucket", bucket).withColumn("hash", F.xxhash64("text"))
+    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(RANGES, max(partitions(spark), -(-size // TASK_BYTES)))
+    # A sample of a bounded number of ids finds the bounds.
+    sample = rows.select("id", "hash").orderBy(F.xxhash64("id", "hash"), "id").limit(PER_RANGE * n).collect()
+    sample = sorted({(r["id"] is None, -r["id"] if r["id"] is not None else 0, r["hash"]) for r in sample})
+    cuts = [sample[len(sample) * i // n] for i in range(1, n)] if len(sample) > n else sample[1:]
+    rows = rows.withColumn("bucket", ranged(cuts))
     place = F.struct(F.col("id").isNull(), -F.col("id"), F.col("hash"))
     heads = rows.groupBy("bucket").agg(F.min_by(F.struct("id", "hash"), place).alias("head")).orderBy("bucket").collect()  # a row for each range
     to = [(h["head"]["id"], h["head"]["hash"], heads[i - 1]["bucket"]) for i, h in enumerate(heads)]
@@ -224,20 +276,24 @@ def compare_with_next(docs: DataFrame, id_column: str = "doc_id", text_column: s
     rows = rows.join(F.broadcast(shown), F.col("id").eqNullSafe(F.col("head_id")) & (F.col("hash") == F.col("head_hash")), "left")
     spots = F.array_compact(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("carried")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("carried")))))
     rows = rows.select("id", "text", "hash", F.explode(spots).alias("spot")).select("spot.*", "id", "text", "hash")
-    rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "carried", F.col("id").desc_nulls_last(), "hash").select("bucket", "carried", "id", "text")
+    rows = rows.repartitionById(max(1, len(cuts) + 1), "bucket").sortWithinPartitions("carried", F.col("id").desc_nulls_last(), "hash").select("carried", "id", "text")
     schema = pa.schema([(id_column, _arrow(kind)), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
     return rows.mapInArrow(partial(compare_rows, schema=schema), f"{id_column} {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def ranged(value, cuts: list[float]):
-    """How many of the ascending ``cuts`` are below ``value``, by bisection."""
-    if not cuts:
-        return F.lit(0)
+def ranged(cuts: list[tuple[bool, int, int]]) -> Column:
+    """How many of the ascending ``cuts`` (id is null, -id, hash) a row (id, hash) has reached, by bisection."""
+
+    def reached(cut: tuple[bool, int, int]) -> Column:
+        none, negative, hash_ = cut
+        if none:
+            return F.col("id").isNull() & (F.col("hash") >= hash_)
+        return F.col("id").isNull() | (F.col("id") < -negative) | ((F.col("id") == -negative) & (F.col("hash") >= hash_))
 
-    def between(lo: int, hi: int):
+    def between(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(value > cuts[mid], between(mid + 1, hi)).otherwise(between(lo, mid))
+        return F.when(reached(cuts[mid]), between(mid + 1, hi)).otherwise(between(lo, mid))
 
     return between(0, len(cuts))
