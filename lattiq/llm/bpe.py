@@ -153,12 +153,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
     far = far.groupBy("key", "name", "n_chars").applyInArrow(stitch_group, f"{key}, copies long, piece long, text string")
     far = far.repartition(n, "key", "name", "piece").mapInArrow(partial(encode_rows, path=path, pattern=pattern, schema=ids_schema), f"{key}, copies long, piece long, ids binary")
     far = far.groupBy("key", "name", "copies").agg(F.expr("listagg(ids) WITHIN GROUP (ORDER BY piece)").alias("ids"))
-    far = far.select("key", F.explode(F.array_repeat("ids", F.col("copies").cast("int"))).alias("ids"))
+    far = far.select("key", "ids", F.explode(F.sequence(F.lit(1), "copies"))).select("key", "ids")
     return near.unionByName(far).withColumnRenamed("key", id_column)
 
 
 def decode(coded: DataFrame, path: str, pattern: str, id_column: str = "doc_id") -> DataFrame:
-    """(id, ids, bytes): the bytes that the ids stand for; not always valid UTF-8 if ids were cut."""
+    """(id, ids, bytes): the bytes that the ids stand for; not always valid UTF-8 if ids were cut.
+
+    Null ids of tokens give no bytes, a null id of a row stays null, repeated rows repeat."""
     ready(coded.sparkSession)
     kind = coded.schema[id_column].dataType
     out = pa.schema([(id_column, _arrow(kind)), ("ids", pa.binary()), ("bytes", pa.binary())])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattiq.llm.bpe import _arrow, codec, encode_text
-from lattiq.llm.common import partitions, ready, record, saved, texts
+from lattiq.llm.common import ready, record, saved, texts
 
 
 class Capacities:
@@ -159,8 +159,9 @@ def pack(cut: DataFrame, capacity: int = 2048, id_column: str = "doc_id") -> Dat
     """Adds sequence_id and offset to pieces with a length of 1 to ``capacity``.
 
     The pieces are written to the checkpoint folder once, as their lengths are needed before any can be placed. Ranks are
-    counted in two steps, inside buckets by a hash of the piece and then over the buckets, so that a length that a third of
-    all pieces have does not meet in one task. An empty input gives no rows.
+    counted in two steps, inside the partitions that were written and then over them, so that a length that a third of
+    all pieces have does not meet in one task, nor do equal rows. Null ids stay null, repeated rows are packed each. An empty
+    input gives no rows.
     """
     spark = ready(cut.sparkSession)
     whole = saved(cut)
@@ -169,7 +170,7 @@ def pack(cut: DataFrame, capacity: int = 2048, id_column: str = "doc_id") -> Dat
     # A run uses up an interval of sequences or ends a length, and leaves three intervals at most: some for each length.
     shared = spark.sparkContext.broadcast(tuple(np.array(column, dtype=np.int64) for column in zip(*runs)))
 
-    bucketed = whole.withColumn("bucket", F.pmod(F.xxhash64(id_column, "piece", "ids_crc32"), F.lit(partitions(spark))).cast("int"))
+    bucketed = whole.withColumn("bucket", F.spark_partition_id())  # fixed, as the files are
     sums = bucketed.groupBy("bucket", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("bucket", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from lattiq.llm.common import partitions
 
-#: Ranges of the rules' keys: no more than these and their bounds are ever brought to the driver.
-RANGES = 64
+#: Keys of rules in a range, more or less, ranges at most, and keys of the sample for each that finds their bounds: no more than
+#: these are ever brought to the driver.
+PER_RANGE, RANGES, SAMPLED = 64, 4096, 32
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -55,7 +56,7 @@ def stretches(rules: DataFrame) -> DataFrame:
         F.struct(F.greatest("key", low).alias("key"), F.lit(1).alias("kind"), F.length("key").alias("depth"), F.col("path").alias("order"), rule.alias("rule")),
         F.struct(F.col("end").alias("key"), F.lit(0).alias("kind"), (-F.length("key")).alias("depth"), F.col("path").alias("order"), rule.alias("rule")),
     )).alias("e"))
-    # A range holds a bounded part of the rules: 1 / RANGES of them, and those that span it.
+    # A range holds about PER_RANGE keys, and the rules that span it.
     swept = ends.groupBy("bucket").agg(F.sort_array(F.collect_list("e")).alias("events"))
     stack = "array<struct<rule:string,path:string,verdict:string>>"
     empty = F.expr(f"cast(array() as {stack})")
@@ -71,17 +72,26 @@ def stretches(rules: DataFrame) -> DataFrame:
 
 
 def ranges(given: DataFrame) -> list[str]:
-    """At most RANGES - 1 keys that cut the rules into parts of about equal size, by a bounded sample of them (the first
-    64 x RANGES keys in the order of a hash)."""
-    keys = sorted(r["key"] for r in given.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(64 * RANGES).collect())
-    n = min(RANGES, max(1, len(keys) // 64))
-    return [keys[len(keys) * i // n] for i in range(1, n)]
+    """Keys that cut the rules into parts of about equal size, as many as their number asks for and RANGES at most, by a
+    bounded sample of them (the first SAMPLED x RANGES keys in the order of a hash)."""
+    known = given.select("key").distinct()
+    n = min(RANGES, max(1, known.count() // PER_RANGE))
+    if n == 1:
+        return []
+    keys = sorted(r["key"] for r in known.orderBy(F.xxhash64("key"), "key").limit(SAMPLED * max(n, PER_RANGE)).collect())
+    return sorted({keys[len(keys) * i // n] for i in range(1, n)})
 
 
 def bucket(value: Column, bounds: list[str]) -> Column:
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= value))
+    """How many of the ascending ``bounds`` are not above ``value``, by bisection."""
+
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value >= bounds[mid], between(mid + 1, hi)).otherwise(between(lo, mid))
+
+    return between(0, len(bounds))
 
 
 def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id_column: str = "page_id") -> DataFrame:
