@@ -133,11 +133,21 @@ def test_fingerprints(spark):
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
         names[got[i].fingerprint].add(t)
+        assert got[i].near_edited == pytest.approx(fingerprint.compared_fingerprints(got[i].fingerprint, got[i].edited_fingerprint))
         if edited == t:
             assert got[i].fingerprint == got[i].edited_fingerprint and got[i].near_edited == 1
     assert all(len(v) == 1 for v in names.values())
     long = [r for r in got.values() if r.n_chars > 400 and r.doc_id > 60]
-    assert all(r.near_edited > 0.25 > r.near_next for r in long)
+    assert len(long) > 20 and all(r.near_edited > 0.25 > r.near_next for r in long)
+    for (i, *_), (j, *_) in zip(ordered, [*ordered[1:], ordered[0]]):
+        assert got[i].near_next == pytest.approx(fingerprint.compared_fingerprints(got[i].fingerprint, got[j].fingerprint))
+
+
+def test_rows_without_ids_are_parted(spark):
+    rows = [(None, f"text number {i}", 1, "h") for i in range(300)] + [(7, f"another {i}", 1, "h") for i in range(300)]
+    df = fingerprint.compare_with_next(spark.createDataFrame(rows, PIECES))
+    assert df.count() == 600
+    assert max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()) < 400
 
 
 def test_odd_fingerprint_rows(spark):
@@ -149,19 +159,36 @@ def test_odd_fingerprint_rows(spark):
 
 def test_peeling_recovers_the_difference():
     r = random.Random(2)
-    data = [b"\n".join(str(r.randrange(10**9)).encode() for _ in range(n)) for n in (1, 5, 80, 800, 0)]
-    data += [d + b"\nmore\nmore\nmore" for d in data]
+    data = ["\n".join(str(r.randrange(10**9)) for _ in range(n)) for n in (1, 5, 80, 800, 0)]
+    data += [d + "\nmore\nmore\nmore" for d in data]
     digest, sizes = fingerprint.paragraphs(data)
+    assert sizes.tolist() == [1, 5, 80, 800, 0, 4, 8, 83, 803, 3]
     starts = np.cumsum(sizes) - sizes
     sets = [set(digest[s : s + n].tolist()) for s, n in zip(starts, sizes)]
     assert [len(s) for s in sets] == sizes.tolist()
     left, right = np.array([0, 1, 2, 3, 4, 2, 3]), np.array([5, 6, 7, 8, 9, 3, 4])
     apart = fingerprint.differences(digest, sizes, left, right)
     assert apart.tolist() == [len(sets[a] ^ sets[b]) for a, b in zip(left, right)]
+    names = fingerprint.fingerprints(digest, sizes)
+    assert [set(fingerprint.recovered(n).tolist()) for n in names] == sets
+    for a, b in zip(left, right):
+        assert fingerprint.compared_fingerprints(names[a], names[b]) == pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b]))
+
+
+def test_an_edit_changes_no_other_paragraph():
+    r = random.Random(4)
+    sentences = [" ".join(f"w{r.randrange(10**6)}" for _ in range(8)) + "." for _ in range(60)]
+    text = " ".join(sentences)
+    other = text.replace(sentences[30], "Something else stands here.")
+    a, b = list(fingerprint.paragraphs_of(text)), list(fingerprint.paragraphs_of(other))
+    assert len(a) > 10 and len(set(a) ^ set(b)) <= 4
+    assert " ".join(a) == text
+    endless = [list(fingerprint.paragraphs_of(" ".join(f"w{i}" for i in range(k, 3000)))) for k in (0, 1)]
+    assert len(endless[0]) > 50 and len(set(endless[0]) ^ set(endless[1])) <= 2
 
 
 def test_digests_do_not_depend_on_the_batch():
-    data = [b"one\ntwo\nthree", b"", b"x" * 500, "é\n".encode() * 3]
+    data = ["one\ntwo\nthree", "", "x" * 500, "\u00e9\n" * 3]
     digest, sizes = fingerprint.paragraphs(data)
     alone = [fingerprint.paragraphs([d])[0].tolist() for d in data]
     starts = np.cumsum(sizes) - sizes
@@ -233,3 +260,28 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == kept
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_pipeline_learns_and_filters(spark, tmp_path):
+    import corpus_pipeline
+
+    from tests.llm.test_learned_operators import corpus as labelled_corpus
+
+    docs, labels = labelled_corpus()
+    rows = [(i, t, "en", "s", len(t)) for i, t, *_ in docs] + [(5000, docs[0][1], "en", "s", 1), (5001, None, None, None, None), (None, docs[3][1] + " more", "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
+    good = {i for i, q, t in labels if q and not t}
+    bad = {i for i, q, t in labels if not q or t}
+    assert len(good & kept) >= 0.95 * len(good) and len(bad & kept) <= 0.05 * len(bad)
+    assert 5000 not in kept and None not in kept
+
+
+def test_pipeline_without_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

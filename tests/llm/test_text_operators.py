@@ -43,10 +43,35 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
-def test_markup_without_end_takes_linear_time():
+WORDS = "one two three four five six seven eight nine ten "
+NEUTRAL = f"<div>{WORDS * 2}</div><div><a>Home</a></div><div><a>News</a> <a>Contact us</a></div><div>The title of a page</div><div>first {WORDS * 5}</div><div>second {WORDS * 4}</div><div><a>More</a> <a>Older</a></div><div>\u00a9 Somebody 2024</div>"
+
+
+@pytest.mark.parametrize("tag", ["div", "p"])
+def test_neutral_markup_is_told_by_lengths_and_links(tag):
+    lines = html.main_text(NEUTRAL.replace("div", tag)).split("\n")
+    assert [x.split()[0] for x in lines] == ["The", "first", "second"]
+
+
+def test_neighbours_decide():
+    """A tree grown without the neighbours' numbers gives other results."""
+    rows = html.labelled()
+    of_neighbours = [i for i, n in enumerate(html.NAMES) if n.startswith(("before", "after", "second"))]
+    blind = html.grow([(tuple(0.0 if i in of_neighbours else v for i, v in enumerate(x)), y) for x, y in rows])
+    wrong = sum((html.decide(blind, tuple(0.0 if i in of_neighbours else v for i, v in enumerate(x))) >= 0.5) != bool(y) for x, y in rows)
+    assert wrong > 10
+
+
+def test_no_depth_limit():
+    deep = "<article><p>kept text</p>" + "<div>" * 450 + "<aside>words beside</aside>" + "</div>" * 450 + "<p>more of it</p></article>"
+    assert html.main_text(deep) == "kept text\nmore of it"
+
+
+@pytest.mark.parametrize("page", [lambda n: "<a " * n + "<b \"" * n, lambda n: "<svg>" * n, lambda n: "<u><div>" + "<b>" * n + "</u>" * n, lambda n: "<article>" * n, lambda n: "<div>" * n + "</b>" * n, lambda n: "<!" * n, lambda n: "<li><span>" * n])
+def test_markup_without_end_takes_linear_time(page):
     began = time.perf_counter()
-    html.main_text("<a " * 30000 + "<b \"" * 30000)
-    assert time.perf_counter() - began < 5
+    html.main_text(page(20000))
+    assert time.perf_counter() - began < 8
 
 
 def test_extract_rows(spark):
