@@ -59,4 +59,17 @@ def angle(x: Column, y: Column) -> Column:
     return F.atan2(y, x)
 
 
+def exactly(x: Column) -> Column:
+    """A number to 1e-14, so that sums do not depend on the order in which rows come."""
+    return x.cast("decimal(28,14)")
+
+
+def steady_sum(x: Column) -> Column:
+    return F.sum(exactly(x)).cast("double")
+
+
+def steady_avg(x: Column) -> Column:
+    return F.sum(exactly(x)).cast("double") / F.count(x)
+
+
 METRICS = {"l2": l2sq, "angular": angular}

@@ -9,15 +9,21 @@ M = 2147483647
 
 
 def uniform(key: Column | str, seed: int) -> Column:
-    """A number in [0, 1) for each integer key."""
+    """A number in [0, 1) for each integer key, however large."""
     key = F.col(key) if isinstance(key, str) else key
-    first = F.pmod((key + F.lit(seed * 7919 + 1)) * F.lit(48271), F.lit(M))
+    first = F.pmod((F.pmod(key.cast("long"), F.lit(M)) + F.lit(seed * 7919 + 1)) * F.lit(48271), F.lit(M))
     return F.pmod(F.pmod(first * first, F.lit(M)) * F.lit(16807) + F.lit(seed), F.lit(M)) / F.lit(float(M))
 
 
+def pair_key(a: Column | str, b: Column | str) -> Column:
+    """One key of two integers that no pair of them overflows."""
+    a, b = (F.pmod((F.col(x) if isinstance(x, str) else x).cast("long"), F.lit(M)) for x in (a, b))
+    return a * F.lit(1000003) + b
+
+
 def uniform_sql(key: str, seed: int) -> str:
     """The same as SQL text."""
-    first = f"((({key}) + {seed * 7919 + 1}) * 48271) % {M}"
+    first = f"(((({key}) % {M} + {M}) % {M} + {seed * 7919 + 1}) * 48271) % {M}"
     return f"((((({first}) * ({first})) % {M}) * 16807 + {seed}) % {M}) / {float(M)}"
 
 

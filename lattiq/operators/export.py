@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattiq.functions.rng import uniform
+from lattiq.functions.rng import pair_key, uniform
 
 #: Below so many edges, the share of them that is kept; the service's third tier keeps less than the next.
 PLOT_TIERS = ((600_000, 1.0), (3_000_000, 1 / 10), (None, 1 / 100))
@@ -38,7 +38,7 @@ def sampled_edges(edges: DataFrame, tiers=PLOT_TIERS, seed: int = 23, loops: boo
     """Edges (without loops) kept with a probability that depends on their number, by a seeded number of the ends."""
     fine = edges if loops else edges.where("u <> v")
     share = share_of(edges.count(), tiers)
-    return fine if share >= 1 else fine.where(uniform(F.col("u") * 1000003 + F.col("v"), seed) < share)
+    return fine if share >= 1 else fine.where(uniform(pair_key("u", "v"), seed) < share)
 
 
 def lengths(edges: DataFrame, layout: DataFrame, least_gap: float = 0.0) -> DataFrame:

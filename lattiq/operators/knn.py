@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lattiq.functions.grouped import by_group
 from lattiq.functions.linalg import METRICS, doubles
 from lattiq.functions.lineage import saved
-from lattiq.functions.rng import uniform
+from lattiq.functions.rng import pair_key, uniform
 from lattiq.functions.shipping import ship
 
 KNN = "id long, nbr long, rank int, d2 double"
@@ -46,14 +46,16 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 
 def block_join(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", keep_self: bool = False, block: int = 1024, rows: int | None = None) -> DataFrame:
-    """The ``k`` nearest of ``vectors`` of every row of ``queries`` (both id, v), exactly.
+    """The ``k`` nearest of ``vectors`` of every row of ``queries`` (both id, v), exactly; with a column ``k`` in ``queries``,
+    as many as it says of each row, ``k`` at most.
 
     Vectors are hashed into blocks of about ``block``; each block of queries meets each block of vectors in a task of its
     own, which returns k rows for each query, so no pair is ever a row."""
     ship(vectors.sparkSession)
     blocks = max(1, -(-(rows or vectors.count()) // block))
     asked = max(1, -(-queries.count() // block)) if queries is not vectors else blocks
-    left = queries.select(F.col("id").cast("long").alias("id"), doubles("v").alias("v"), F.pmod(F.hash("id"), F.lit(asked)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("vb"))
+    own_k = F.least(F.col("k"), F.lit(k)) if "k" in queries.columns else F.lit(k)
+    left = queries.select(F.col("id").cast("long").alias("id"), doubles("v").alias("v"), own_k.cast("int").alias("k"), F.pmod(F.hash("id"), F.lit(asked)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("vb"))
     right = vectors.select(F.col("id").cast("long").alias("id"), doubles("v").alias("v"), F.pmod(F.hash("id"), F.lit(blocks)).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("qb"))
 
     def best(own: pa.Table, others: pa.Table) -> pa.Table:
@@ -65,9 +67,10 @@ def block_join(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2
             d[ids[:, None] == names[None, :]] = np.inf
         order = np.argsort(names, kind="stable")
         names, d = names[order], d[:, order]
-        top = np.argsort(d, axis=1, kind="stable")[:, :k]
+        wanted = own.column("k").to_numpy()
+        top = np.argsort(d, axis=1, kind="stable")[:, : int(wanted.max())]
         near = np.take_along_axis(d, top, axis=1).ravel()
-        fine = np.isfinite(near)
+        fine = np.isfinite(near) & (np.arange(top.shape[1]) < wanted[:, None]).ravel()
         return pa.table([np.repeat(ids, top.shape[1])[fine], names[top].ravel()[fine], near[fine]], schema=NEAR)
 
     return nearest(left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(best, "id long, nbr long, d2 double"), k)
@@ -279,7 +282,7 @@ def nn_descent(vectors: DataFrame, k: int, epochs: int = 8, sample: int = 10, ca
         return [np.concatenate([ids[a[left]], ids[b[right]]]), np.concatenate([ids[b[left]], ids[a[right]]]), np.concatenate([d[left], d[right]])]
 
     for epoch in range(epochs):
-        mix = uniform(F.col("id") * 1000003 + F.col("nbr"), seed + epoch)
+        mix = uniform(pair_key("id", "nbr"), seed + epoch)
         fresh = Window.partitionBy("id").orderBy(F.desc("new"), mix, "nbr")
         chosen = knn.withColumn("place", F.row_number().over(fresh)).where(~F.col("new") | (F.col("place") <= sample)).select("id", "nbr", "new")
         back = Window.partitionBy("nbr", "new").orderBy(mix, "id")
@@ -403,10 +406,14 @@ class KnnIndex:
     def save(self, path: str) -> None:
         for name in ("vectors", "graph", "codes"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        settings = self.vectors.sparkSession.createDataFrame([(self.tables, self.bits)], "tables int, bits int")
+        settings.write.mode("overwrite").parquet(f"{path}/settings")
 
     @classmethod
     def load(cls, spark, path: str) -> KnnIndex:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("vectors", "graph", "codes")))
+        index = cls(*(spark.read.parquet(f"{path}/{name}") for name in ("vectors", "graph", "codes")))
+        index.tables, index.bits = spark.read.parquet(f"{path}/settings").first()
+        return index
 
 
 def hamming_pool_of(queries: DataFrame, codes: DataFrame, bits: int, radius: int) -> DataFrame:
