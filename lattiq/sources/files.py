@@ -9,6 +9,7 @@ import os
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 
 from lattiq.functions.shipping import ship
 
+#: Lines that are numbered together.
+RUN = 1 << 20
 EDGES = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType()), T.StructField("w", T.DoubleType())])
 
 
@@ -62,11 +65,14 @@ def read_layout(spark: SparkSession, path: str, id_column: bool = True) -> DataF
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """(id, label) of integers separated by white space, wherever lines break."""
-    fields = lines(spark, path)
-    sizes = fields.select("at", F.size("fields").alias("n"))
-    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return fields.join(starts, "at").select("start", F.posexplode("fields").alias("i", "label")).select((F.col("start") + F.col("i")).alias("id"), F.col("label").cast("int").alias("label"))
+    fields = lines(spark, path).withColumn("run", F.floor(F.col("at") / RUN)).withColumn("n", F.size("fields"))
+    # Lines are counted in runs of RUN lines, and the runs, few as they are, after one another.
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    runs = fields.groupBy("run").agg(F.sum("n").alias("all"))
+    runs = runs.select("run", F.coalesce(F.sum("all").over(before().orderBy("run")), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("n").over(before("run").orderBy("at")), F.lit(0))
+    starts = fields.withColumn("inside", inside).join(F.broadcast(runs), "run").select((F.col("first") + F.col("inside")).alias("start"), "fields")
+    return starts.select("start", F.posexplode("fields").alias("i", "label")).select((F.col("start") + F.col("i")).alias("id"), F.col("label").cast("int").alias("label"))
 
 
 def classes(labels: DataFrame) -> DataFrame:
@@ -78,9 +84,10 @@ def read_knn(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).select(F.col("at").alias("id"), F.posexplode("fields").alias("rank", "nbr")).select("id", F.col("nbr").cast("long").alias("nbr"), (F.col("rank") + 1).alias("rank"))
 
 
-def write_lines(df: DataFrame, path: str, order: str = "at") -> None:
-    """One text file of the ``line`` column in the order of ``order``; the order is made in parallel, the file by one writer."""
-    df.orderBy(order).select("line").coalesce(1).write.mode("overwrite").text(path)
+def write_lines(df: DataFrame, path: str, *order: str) -> None:
+    """One text file of the ``line`` column in the order of ``order`` (``at``, if none is given); the order is made in
+    parallel, the file by one writer."""
+    df.orderBy(*(order or ("at",))).select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
 def headed(spark: SparkSession, body: DataFrame, head: Column | str, source: DataFrame) -> DataFrame:
@@ -100,9 +107,27 @@ def write_knn(knn: DataFrame, path: str) -> None:
 
 def write_graph(edges: DataFrame, path: str) -> None:
     n = edges.select(F.greatest("u", "v").alias("m")).agg(F.max("m") + 1).first()[0] or 0
-    keyed = edges.withColumn("at", F.struct("u", "v").cast("string"))
-    body = edges.select(F.row_number().over(Window.orderBy("u", "v")).cast("long").alias("at"), F.format_string("%d %d %s", "u", "v", F.col("w").cast("string")).alias("line"))
-    write_lines(headed(edges.sparkSession, body, F.concat(F.lit(f"{n} "), F.count("*").cast("string")).alias("line"), keyed), path)
+    body = edges.select(F.lit(0).alias("at"), "u", "v", F.format_string("%d %d %s", "u", "v", F.col("w").cast("string")).alias("line"))
+    top = edges.agg(F.concat(F.lit(f"{n} "), F.count("*").cast("string")).alias("line")).withColumn("at", F.lit(-1))
+    write_lines(top.unionByName(body, allowMissingColumns=True), path, "at", "u", "v", "line")
+
+
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """A file ``n d`` and one row of d numbers a line, in the order of ids."""
+    body = vectors.select(F.col("id").cast("long").alias("at"), F.array_join(F.transform("v", lambda x: x.cast("string")), " ").alias("line"))
+    size = F.concat_ws(" ", F.count("*").cast("string"), F.coalesce(F.max(F.size("v")), F.lit(0)).cast("string"))
+    write_lines(headed(vectors.sparkSession, body, size.alias("line"), vectors), path)
+
+
+def write_labels(labels: DataFrame, path: str) -> None:
+    """One integer a line, in the order of ids."""
+    write_lines(labels.select(F.col("id").alias("at"), F.col("label").cast("string").alias("line")), path)
+
+
+def write_groups(membership: DataFrame, path: str) -> None:
+    """One community a line: the ids of its vertices, ascending; communities in their order."""
+    held = membership.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string")), " ").alias("line"))
+    write_lines(held.withColumnRenamed("community", "at"), path)
 
 
 def binary(spark: SparkSession, path: str, parse, schema: pa.Schema, ddl: str) -> DataFrame:
@@ -144,15 +169,16 @@ def write_knn_binary(knn: DataFrame, path: str) -> None:
 
 
 def read_codes(spark: SparkSession, path: str, shift: int = 0, bits: int = 32) -> DataFrame:
-    """(tbl, id, code) of files ``<name>_<table>``: one code a row (that is 1), their length, their number, then the codes."""
+    """(tbl, id, code) of files ``<name>_<table>``: one code a row (that is 1), their length, their number, then the codes.
+    Codes of 64 bits are the same bits as a signed number."""
 
     def parse(name: str, content: bytes):
         _, length, n = struct.unpack_from("<3i", content)
         if length - shift > bits or length < shift:
             raise ValueError(f"codes of {length} bits, shifted by {shift}, do not fit {bits}")
-        codes = struct.unpack_from(f"<{n}{'I' if bits <= 32 else 'Q'}", content, 12)
+        codes = np.frombuffer(content, "<u4" if bits <= 32 else "<u8", n, 12).astype(np.uint64) >> np.uint64(shift)
         table = int(name.rsplit("_", 1)[1].split(".")[0])
-        return [table] * n, range(n), [c >> shift for c in codes]
+        return [table] * n, range(n), codes.view(np.int64)
 
     return binary(spark, path, parse, pa.schema([("tbl", pa.int32()), ("id", pa.int64()), ("code", pa.int64())]), "tbl int, id long, code long")
 

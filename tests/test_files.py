@@ -62,6 +62,22 @@ def test_codes(spark, tmp_path):
     assert [tuple(r) for r in got] == [(0, 0, 2), (0, 1, 4), (0, 2, 127), (3, 0, 2), (3, 1, 6), (3, 2, 127)]
 
 
+def test_long_codes(spark, tmp_path):
+    (tmp_path / "codes_1").write_bytes(struct.pack("<3i2Q", 1, 64, 2, 1 << 63, 5))
+    assert [r.code for r in files.read_codes(spark, f"{tmp_path}/codes_*", bits=64).orderBy("id").collect()] == [-(1 << 63), 5]
+
+
+def test_labels_are_numbered_over_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "RUN", 3)
+    (tmp_path / "labels.txt").write_text("".join(f"{i} {i + 1}\n" for i in range(0, 40, 2)))
+    assert all(r.id == r.label for r in files.read_labels(spark, str(tmp_path / "labels.txt")).collect())
+
+
+def test_groups(spark, tmp_path):
+    files.write_groups(spark.createDataFrame([(5, 1), (2, 1), (3, 0)], "id long, community long"), str(tmp_path / "g"))
+    assert content(tmp_path / "g") == "3\n2 5\n"
+
+
 def test_catalogue(tmp_path):
     for name in ("a.txt", "a_vec.txt", "b_vec.txt", "c.txt"):
         (tmp_path / name).write_text("")
