@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lattiq.functions.rng import uniform, uniform_sql
 from lattiq.functions.lineage import saved
 from lattiq.operators import coarsen, communities, convergence, export, graph, knn, layout, metrics, partition, similarity
-from lattiq.plans.fixtures import ARCS, GEO, NATION_LEVEL, NODES, PART_SUPP, VECTOR_LAYOUT, VECTORS, geo, geo_layout, geo_layout_sql, nation_level, part_supp, table, vector_layout, vectors
+from lattiq.sources import files
+from lattiq.plans.fixtures import ARCS, GEO, NATION_LEVEL, NODES, PART_SUPP, VECTOR_LAYOUT, VECTORS, geo, geo_layout, geo_layout_sql, nation_level, part_supp, scratch, table, vector_layout, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,6 +153,101 @@ def knn_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(index.search(rows.select("id", "v"), 5), "d2")
 
 
+ENOUGH = "select count(*) * %d as wanted, true as enough from embeddings"
+
+
+def enough(found: DataFrame, rows: DataFrame, k: int, truth: DataFrame | None = None) -> DataFrame:
+    """Whether at least 0.9 of the true neighbours were found."""
+    return knn.recall(found, knn.exact(rows, k) if truth is None else truth, k).select("wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query(ENOUGH % 10)
+def forest_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    return enough(knn.forest(rows, 10), rows, 10)
+
+
+@query(ENOUGH % 10)
+def kd_leaves_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf mates of variance-split trees, as start lists of a propagation."""
+    rows = vectors(spark, sf_dir)
+    return enough(knn.propagate(knn.merged_leaves(rows, 10, trees=16, leaf=120), rows, 10), rows, 10)
+
+
+@query(ENOUGH % 10)
+def nn_descent_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    return enough(knn.nn_descent(rows, 10), rows, 10)
+
+
+@query(ENOUGH % 5)
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of the index for its own rows, which are their own nearest."""
+    rows = vectors(spark, sf_dir).select("id", "v")
+    index = knn.KnnIndex.build(rows, "exact", 10)
+    return enough(index.search(rows, 5), rows, 5, knn.block_join(rows, rows, 5, keep_self=True))
+
+
+# Files
+
+
+@query(with_(VECTORS) + "select id, cast(unnest(range(0, len(v))) as int) as dim, round(unnest(v), 6) as x from (select row_number() over (order by id) - 1 as id, v from vectors)")
+def file_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "vectors")
+    files.write_vectors(vectors(spark, sf_dir), path)
+    return rounded(files.read_vectors(spark, path).select("id", F.posexplode("v").alias("dim", "x")), "x")
+
+
+@query(with_(PART_SUPP) + "select u, v, w from edges")
+def file_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "graph")
+    files.write_graph(part_supp(spark, sf_dir), path)
+    return files.read_graph(spark, path)
+
+
+@query(with_(GEO, NODES, geo_layout_sql()) + "select row_number() over (order by id) - 1 as id, round(x, 4) as x, round(y, 4) as y from layout")
+def file_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "layout")
+    files.write_layout(geo_layout(graph.vertices(geo(spark, sf_dir))), path)
+    return rounded(files.read_layout(spark, path), "x", "y", digits=4)
+
+
+@query("select row_number() over (order by vec_id) - 1 as id, cast(label as int) as label from embeddings")
+def file_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "labels")
+    files.write_labels(vectors(spark, sf_dir), path)
+    return files.read_labels(spark, path)
+
+
+@query("select max(label) + 1 as classes from embeddings")
+def file_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "labels")
+    files.write_labels(vectors(spark, sf_dir), path)
+    return files.classes(files.read_labels(spark, path))
+
+
+@query(with_(VECTORS, knn_sql(10)) + "select dense_rank() over (order by id) - 1 as id, nbr, rank from knn")
+def file_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "knn")
+    files.write_knn(knn.exact(vectors(spark, sf_dir), 10), path)
+    return files.read_knn(spark, path)
+
+
+@query(with_(NATION_LEVEL) + "select row_number() over (order by cluster) - 1 as at, string_agg(cast(id as varchar), ' ' order by id) as line from level group by cluster")
+def file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "groups")
+    files.write_groups(nation_level(spark, sf_dir).select("id", F.col("cluster").alias("community")), path)
+    return files.lines(spark, path).select("at", F.array_join("fields", " ").alias("line"))
+
+
+@query(with_(VECTORS) + "select a.id, " + distance_sql("a.v", "b.v") + " as d2 from vectors a, vectors b where a.id = 5 and b.id = 3")
+def index_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance of two rows of an index that was saved and loaded."""
+    path, rows = scratch(spark, "index"), vectors(spark, sf_dir).select("id", "v")
+    knn.KnnIndex.build(rows, "exact", 10).save(path)
+    return knn.KnnIndex.load(spark, path).distance(5, 3).select(F.lit(5).cast("long").alias("id"), "d2")
+
+
 @query(with_(VECTORS, knn_sql(10)) + "select least(id, nbr) as u, greatest(id, nbr) as v, 0.0::double as w from knn where rank <= 2 group by least(id, nbr), greatest(id, nbr)")
 def edges_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.prefix_edges(knn.exact(vectors(spark, sf_dir), 10), 2)
@@ -367,16 +463,18 @@ s{r} as materialized (
     return ",\n".join([*out, f"suns as (select id from s{rounds} where chosen)"])
 
 
-SOLAR = with_(GEO, ARCS, NODES, """near as materialized (select distinct src, dst from (
+SOLAR_PARTS = (GEO, ARCS, NODES, """near as materialized (select distinct src, dst from (
     select src, dst from arcs union all select a.src, b.dst from arcs a join arcs b on a.dst = b.src) where src <> dst)""",
     f"ranked as materialized (select id, row_number() over (order by {uniform_sql('id', 1)}, id) as p from nodes)", independent_sql(12),
     """planets as (select a.dst as id, s.id as sun, a.w as dist from arcs a join suns s on s.id = a.src),
 rest as (select id from nodes where id not in (select id from suns) and id not in (select id from planets)),
 moons as (
     select r.id, arg_min(p.id, (a.w, p.id)) as planet, arg_min(p.sun, (a.w, p.id)) as sun, arg_min(p.dist + a.w, (a.w, p.id)) as dist
-    from rest r join arcs a on a.src = r.id join planets p on p.id = a.dst group by r.id)""") + """select id, id as sun, 1 as kind, 0.0::double as dist from suns
+    from rest r join arcs a on a.src = r.id join planets p on p.id = a.dst group by r.id)""")
+SOLAR_ROWS = """select id, id as sun, 1 as kind, 0.0::double as dist from suns
 union all select id, sun, case when id in (select planet from moons) then 3 else 2 end, dist from planets
-union all select id, sun, 4, dist from moons"""
+union all select id, sun, 4, dist from moons"""
+SOLAR = with_(*SOLAR_PARTS) + SOLAR_ROWS
 
 
 @query(SOLAR)
@@ -419,7 +517,9 @@ def lambda_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coarsen.lambdas(geo(spark, sf_dir), nation_level(spark, sf_dir))
 
 
-@query()
+@query(with_(*SOLAR_PARTS, f"level as materialized ({SOLAR_ROWS})", """pairs as (
+    select distinct least(a.sun, b.sun) as u, greatest(a.sun, b.sun) as v from edges e join level a on a.id = e.u join level b on b.id = e.v where a.sun <> b.sun)""") + """select 0 as level, (select count(*) from nodes) as nodes, (select count(*) from nodes) as mass, (select count(*) from edges) as edges
+union all select 1, (select count(distinct sun) from level), (select count(*) from level), (select count(*) from pairs) where (select count(*) from nodes) > 100""")
 def hierarchy_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = coarsen.hierarchy(coarsen.seed_edges(geo(spark, sf_dir)))
     out = None
@@ -441,7 +541,43 @@ def prolong_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(layout.prolong_normal(level, geo(spark, sf_dir), coarse), "x", "y", digits=8)
 
 
-@query()
+TURN = 2 * 3.141592653589793
+
+
+def between_sql(name: str, source: str, seed: int) -> str:
+    key, shift = "id * 1000003 + other", "0.05 * sqrt((ox - x) * (ox - x) + (oy - y) * (oy - y))"
+    return f"""{name} as (
+    select id, x + (ox - x) * part + {shift} * {uniform_sql(key, seed)} * cos({TURN} * {uniform_sql(key, seed + 1)}) as px,
+        y + (oy - y) * part + {shift} * {uniform_sql(key, seed)} * sin({TURN} * {uniform_sql(key, seed + 1)}) as py from {source})"""
+
+
+PROLONGED = with_(*SOLAR_PARTS, f"""level as materialized ({SOLAR_ROWS}),
+spots as (select sun, {uniform_sql('cluster', 1)} as x, {uniform_sql('cluster', 2)} as y from (select sun, row_number() over (order by sun) - 1 as cluster from level where id = sun)),
+own as (select id, l.sun, kind, dist, x, y from level l join spots s on s.sun = l.sun where id <> l.sun),
+ways as (
+    select o.id, b.sun as other, o.x, o.y, s.x as ox, s.y as oy, case when a.w + o.dist + b.dist > 0 then o.dist / (a.w + o.dist + b.dist) else 0 end as part
+    from arcs a join own o on o.id = a.src join level b on b.id = a.dst join spots s on s.sun = b.sun where o.sun <> b.sun)""",
+    between_sql("on_ways", "ways", 29), f"""early as (
+    select o.*, coalesce(mx, x + dist * cos({TURN} * {uniform_sql('o.id', 31)})) as ox, coalesce(my, y + dist * sin({TURN} * {uniform_sql('o.id', 31)})) as oy
+    from own o left join (select id, avg(px) as mx, avg(py) as my from on_ways group by id) m on m.id = o.id),
+beside as (
+    select a.id, b.id as other, a.x, a.y, b.ox, b.oy, a.dist, w, sqrt((b.ox - a.x) * (b.ox - a.x) + (b.oy - a.y) * (b.oy - a.y)) as way
+    from arcs join early a on a.id = src join early b on b.id = dst where a.sun = b.sun and a.kind <> 3 and b.kind <> 3 and b.id < a.id),
+siblings as (select *, case when way > 0 then (dist + (way - dist - w) / 2) / way else 0.5 end as part from beside)""",
+    between_sql("by_siblings", "siblings", 32), """first as (
+    select e.id, sun, kind, dist, coalesce(mx, ox) as ox, coalesce(my, oy) as oy
+    from early e left join (select id, avg(px) as mx, avg(py) as my from (from on_ways union all from by_siblings) group by id) m on m.id = e.id where kind <> 3),
+by_moon as (
+    select a.id, b.id as other, a.x, a.y, b.ox, b.oy, a.dist, b.dist as far, w, sqrt((b.ox - a.x) * (b.ox - a.x) + (b.oy - a.y) * (b.oy - a.y)) as way
+    from arcs join early a on a.id = src join first b on b.id = dst where a.sun = b.sun and a.kind = 3 and b.kind = 4),
+along as (select *, case when far > 0 then dist / far else 0 end as part from by_moon),
+apart as (select *, case when way > 0 then (dist + (way - dist - w) / 2) / way else 0.5 end as part from by_moon)""",
+    between_sql("on_along", "along", 34), between_sql("on_apart", "apart", 36), """late as (
+    select e.id, coalesce(mx, ox) as x, coalesce(my, oy) as y
+    from early e left join (select id, avg(px) as mx, avg(py) as my from (from on_ways union all from on_along union all from on_apart) group by id) m on m.id = e.id where kind = 3)""")
+
+
+@query(PROLONGED + "select sun as id, round(x, 6) as x, round(y, 6) as y from spots union all select id, round(ox, 6), round(oy, 6) from first union all select id, round(x, 6), round(y, 6) from late")
 def prolong_solar(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = geo(spark, sf_dir)
     level = saved(coarsen.numbered(coarsen.solar(edges)))
@@ -469,13 +605,26 @@ def sgd_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(layout.moved(spots, pull.unionByName(push)), "x", "y", digits=8)
 
 
-@query()
+DRAWN = with_(GEO, ARCS, NODES, geo_layout_sql(), CUMULATIVE, f"""arc_parts as (select src, dst, sum(w) over (order by src * 10000000 + dst) as top, w as weight, sum(w) over () as total from arcs),
+drawn as (select i as draw, src, dst from (select i, {uniform_sql('i', 17)} as u from range(0, 200) r(i)) join arc_parts on u >= (top - weight) / total and u < top / total),
+others as (select i // 5 as draw, id from (select i, {uniform_sql('i', 18)} as u from range(0, 1000) r(i)) join parts on u >= (top - weight) / total and u < top / total),
+pairs as (select src, dst, 0 as far from drawn union all select src, id, 1 from others join drawn on drawn.draw = others.draw where id <> src and id <> dst),
+placed as (
+    select src, dst, far, a.x - b.x as dx, a.y - b.y as dy, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) as d2
+    from pairs join layout a on a.id = src join layout b on b.id = dst),
+forced as (select *, case when far = 0 then -2 / (1 + d2) else 2 * 0.01 / ((0.1 + d2) * (1 + d2)) end as f from placed),
+steps as (select src, dst, greatest(-1, least(1, f * dx)) * 0.5 as dx, greatest(-1, least(1, f * dy)) * 0.5 as dy from forced),
+total as (select id, sum(dx) as dx, sum(dy) as dy from (select src as id, dx, dy from steps union all select dst, -dx, -dy from steps) group by id)""")
+
+
+@query(DRAWN + "select layout.id, round(x + coalesce(dx, 0), 8) as x, round(y + coalesce(dy, 0), 8) as y from layout left join total on layout.id = total.id")
 def sgd_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One epoch of weighted draws by joins, as on graphs that do not fit one task."""
     edges = geo(spark, sf_dir)
     arcs = saved(graph.arcs(edges))
-    arc_table = similarity.cumulative(arcs.withColumn("key", F.xxhash64("src", "dst")), "key", "w")
-    return layout.epoch(geo_layout(graph.vertices(edges)), arc_table, similarity.cumulative(similarity.sampling_weights(arcs)), 200, 0, 0.5)
+    arc_table = similarity.cumulative(arcs.withColumn("key", F.col("src") * 10_000_000 + F.col("dst")), "key", "w")
+    moved = layout.epoch(geo_layout(graph.vertices(edges)), arc_table, similarity.cumulative(similarity.sampling_weights(arcs)), 200, 0, 0.5)
+    return rounded(moved, "x", "y", digits=8)
 
 
 @query()
@@ -548,7 +697,10 @@ def cell_locality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.locality(partition.quad_cells(vector_layout(spark, sf_dir), 50, 8), knn.exact(vectors(spark, sf_dir), 10))
 
 
-@query()
+@query(with_(VECTORS, VECTOR_LAYOUT, quad_sql(8, 50), knn_sql(10), """inside as materialized (
+    select distinct k.id as src, k.nbr as dst from knn k join cells a on a.id = k.id join cells b on b.id = k.nbr and b.cell = a.cell),
+both_ways as materialized (select src, dst from inside union select dst, src from inside),
+reached as (select id as src, id from cells union select r.src, b.dst from reached r join both_ways b on b.src = r.id)""", recursive=True) + "select src as id, min(id) as component from reached group by src")
 def cell_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = knn.prefix_edges(knn.exact(vectors(spark, sf_dir), 10), 10)
     return partition.parts_in_cells(partition.quad_cells(vector_layout(spark, sf_dir), 50, 8), edges)
