@@ -205,11 +205,11 @@ def file_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_graph(spark, path)
 
 
-@query(with_(GEO, NODES, geo_layout_sql()) + "select row_number() over (order by id) - 1 as id, round(x, 4) as x, round(y, 4) as y from layout")
+@query(with_(GEO, NODES, geo_layout_sql()) + "select row_number() over (order by id) - 1 as id, round(x, 6) as x, round(y, 6) as y from layout")
 def file_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "layout")
     files.write_layout(geo_layout(graph.vertices(geo(spark, sf_dir))), path)
-    return rounded(files.read_layout(spark, path), "x", "y", digits=4)
+    return rounded(files.read_layout(spark, path), "x", "y")
 
 
 @query("select row_number() over (order by vec_id) - 1 as id, cast(label as int) as label from embeddings")
