@@ -15,6 +15,7 @@ from lattiq.functions.linalg import METRICS, doubles
 from lattiq.functions.lineage import saved
 from lattiq.functions.rng import pair_key, uniform
 from lattiq.functions.shipping import ship
+from lattiq.operators.trees import Forest, leaves, plant, probes
 
 KNN = "id long, nbr long, rank int, d2 double"
 NEAR = pa.schema([("id", pa.int64()), ("nbr", pa.int64()), ("d2", pa.float64())])
@@ -96,9 +97,9 @@ def ranked_pairs(pairs: DataFrame, vectors: DataFrame, k: int, metric: str = "l2
 MEET = 512
 
 
-def closest(ids: np.ndarray, names: np.ndarray, d: np.ndarray, k: int, far: np.ndarray | None = None) -> list[np.ndarray]:
+def closest(ids: np.ndarray, names: np.ndarray, d: np.ndarray, k: int, far: np.ndarray | None = None, keep_self: bool = False) -> list[np.ndarray]:
     """(id, nbr, d2): the ``k`` closest columns of each row of ``d``, no further than ``far``, without equal names."""
-    d = np.where(ids[:, None] == names[None, :], np.inf, d)
+    d = d if keep_self else np.where(ids[:, None] == names[None, :], np.inf, d)
     order = np.argsort(names, kind="stable")
     names, d = names[order], d[:, order]
     top = np.argsort(d, axis=1, kind="stable")[:, :k]
@@ -194,37 +195,45 @@ def leaf_knn(buckets: DataFrame, vectors: DataFrame, k: int, metric: str = "l2")
     return merged(met, k)
 
 
-def hyperplane_leaves(vectors: DataFrame, trees: int, leaf: int, seed: int, dims: int, total: int) -> DataFrame:
-    """(bucket, id): leaves of trees that split by the sign of the distance to a random plane through a sampled mean.
-
-    A level's planes are the same for all its nodes, so a bucket is a path of signs and a tree needs no driver."""
-    levels = max(0, int(np.ceil(np.log2(max(1, total / leaf)))))
-    mean = vectors.select(F.posexplode(doubles("v")).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m")).orderBy("dim").collect()
-    centre = np.array([r["m"] for r in mean])
-    random = np.random.default_rng(seed)
-    out = None
-    for t in range(trees):
-        signs = []
-        for _ in range(levels):
-            normal = random.normal(size=dims)
-            side = F.aggregate(F.zip_with(doubles("v"), F.array(*map(F.lit, normal.tolist())), lambda x, n: x * n), F.lit(float(-(normal @ centre))), lambda p, q: p + q)
-            signs.append(F.when(side > 0, "1").otherwise("0"))
-        one = vectors.select(F.concat(F.lit(f"{t}:"), *signs).alias("bucket"), "id")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def forest(vectors: DataFrame, k: int, trees: int = 10, leaf: int = 160, seed: int = 314159265, rounds: int = 3, metric: str = "l2") -> DataFrame:
-    """Random-hyperplane forest, exact ranking of the leaf mates, then ``rounds`` of propagation."""
+def forest(vectors: DataFrame, k: int, trees: int | None = None, leaf: int = 160, seed: int = 314159265, rounds: int = 3, metric: str = "l2") -> DataFrame:
+    """Random-hyperplane forest (as many trees as ``tree_count`` says, if not given), exact ranking of the leaf mates, then
+    ``rounds`` of propagation. Leaves that are large, as a forest is grown from a sample, are split by planes of their own."""
     total = vectors.count()
-    first = vectors.select(F.size("v").alias("n")).first()
-    if first is None:
+    planted = plant(vectors, trees or tree_count(total), leaf, seed, metric, total)
+    if planted is None:
         return vectors.sparkSession.createDataFrame([], KNN)
-    buckets = hyperplane_leaves(vectors, trees, leaf, seed, first["n"], total)
-    start = saved(leaf_knn(buckets, vectors, k, metric))
+    held = saved(leaves(vectors, planted))
+    start = saved(leaf_knn(held.select(F.concat(F.col("node").cast("string"), F.lit(":")).alias("bucket"), "id"), vectors, k, metric))
     return propagate(start, vectors, k, rounds, metric) if rounds else start
 
 
+def forest_search(queries: DataFrame, vectors: DataFrame, planted: Forest, held: DataFrame, k: int, enough: int | None = None, metric: str = "l2") -> DataFrame:
+    """The ``k`` nearest of ``vectors`` (id, v) of every row of ``queries``, whose ids are their own, among the rows in the leaves
+    (``held``: node, id) that ``probes`` names; ``enough`` rows of leaves are looked at, ``k`` for each tree if not given.
+
+    Queries meet a leaf's rows in arrays, MEET at most of either at a time."""
+    asked = saved(probes(queries, planted, held, enough or k * len(planted.roots)).select("node", "id"))
+    sizes = held.groupBy("node").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts"))
+    sizes = sizes.join(asked.groupBy("node").agg(F.ceil(F.count("*") / MEET).cast("int").alias("askers")), "node")
+
+    def dealt(rows: DataFrame, kind: int, own: str, others: str) -> DataFrame:
+        """Each row in its own part, once for every part of the other side."""
+        rows = rows.join(sizes, "node").withColumn("own", F.pmod(F.hash("node", "id"), F.col(own))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+        return rows.select(F.xxhash64("node", *(("own", "other") if kind else ("other", "own"))).alias("key"), F.lit(kind).alias("kind"), "id")
+
+    def meet(rows: pa.Table):
+        kind, ids, v = rows.column("kind").to_numpy(), rows.column("id").to_numpy(), array2d(rows.column("v"))
+        asking, offered = kind == 0, kind == 1
+        if not asking.any() or not offered.any():
+            return None
+        return closest(ids[asking], ids[offered], distances(v[asking], v[offered], metric), k, keep_self=True)
+
+    members = dealt(held.select("node", "id"), 1, "parts", "askers").join(vectors.select("id", doubles("v").alias("v")), "id")
+    askers = dealt(asked, 0, "askers", "parts").join(queries.select("id", doubles("v").alias("v")), "id")
+    met = by_group(members.unionByName(askers).select("key", "kind", "id", "v"), "key", meet, NEAR, "id long, nbr long, d2 double")
+    return merged(met, k)
+
+
 def tree_count(n: int) -> int:
     """Trees of the forest by the number of rows."""
     return 10 if n < 100_000 else 20 if n < 1_000_000 else 50 if n < 5_000_000 else 100
@@ -350,6 +359,10 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return hit.agg(F.count("hit").alias("hits"), F.count("*").alias("wanted")).withColumn("recall", F.col("hits") / F.col("wanted"))
 
 
+#: Rows of an index that try how deep a search has to go.
+TRIALS = 128
+
+
 def build(vectors: DataFrame, kind: str, k: int = 10, **options) -> DataFrame:
     """A kNN graph by the named strategy; an unknown name is an error."""
     strategies = {"exact": exact, "largevis": forest, "forest": forest, "efanna": nn_descent, "nn_descent": nn_descent, "hashing": hamming, "hamming": hamming}
@@ -359,36 +372,66 @@ def build(vectors: DataFrame, kind: str, k: int = 10, **options) -> DataFrame:
 
 
 class KnnIndex:
-    """A searchable index: vectors, a kNN graph over them and the leaves of trees, all as tables.
+    """A searchable index: vectors, a kNN graph over them, codes and, if asked for, a forest and its leaves, all as tables.
 
     ``build`` makes it, ``search`` answers rows that are not in it, ``save`` and ``load`` keep it as Parquet."""
 
-    def __init__(self, vectors: DataFrame, graph: DataFrame, codes: DataFrame):
-        self.vectors, self.graph, self.codes = vectors, graph, codes
+    tables, bits, enough = 4, 8, 0
+
+    def __init__(self, vectors: DataFrame, graph: DataFrame, codes: DataFrame, planted: Forest | None = None, held: DataFrame | None = None):
+        self.vectors, self.graph, self.codes, self.planted, self.held = vectors, graph, codes, planted, held
 
     @classmethod
-    def build(cls, vectors: DataFrame, kind: str = "efanna", k: int = 10, tables: int = 4, bits: int = 8, **options) -> KnnIndex:
-        index = cls(vectors, build(vectors, kind, k, **options), sign_codes(vectors, tables, bits))
+    def build(cls, vectors: DataFrame, kind: str = "efanna", k: int = 10, tables: int = 4, bits: int = 8, search_trees: int = 0, leaf: int = 40, seed: int = 1998, share: float = 0.92, **options) -> KnnIndex:
+        """``search_trees``: trees of the forest that searches by "trees" or "trees_expansion" need; how many rows of leaves
+        these look at is set by trial rows, whose ``k`` true neighbours have to be found to a ``share``."""
+        planted = plant(vectors, search_trees, leaf, seed) if search_trees else None
+        held = saved(leaves(vectors, planted)) if planted is not None else None
+        index = cls(vectors, build(vectors, kind, k, **options), sign_codes(vectors, tables, bits), planted, held)
         index.tables, index.bits = tables, bits
+        index.enough = index._depth(k, share, seed) if planted is not None else 0
         return index
 
-    tables, bits = 4, 8
-
-    def search(self, queries: DataFrame, k: int, method: str = "expansion", rounds: int = 2, pool: int = 30, radius: int = 2) -> DataFrame:
-        """(id, nbr, rank, d2) for query vectors (id, v): a pool by code, then neighbours of the pool's best rows.
-
-        ``method``: "pool" ranks the pool only, "expansion" adds the neighbours of all pool rows in each round, "best_first"
-        those of its best ``k`` rows."""
-        if method not in ("pool", "expansion", "best_first"):
+    def _depth(self, k: int, share: float, seed: int) -> int:
+        """How many rows of leaves to look at, doubled until TRIALS rows of the index have found enough of their neighbours."""
+        most = self.held.count()
+        trials = saved(self.vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(TRIALS).select("id", "v"))
+        truth = saved(block_join(trials, self.vectors, k))
+        enough = k * len(self.planted.roots)
+        while enough < most:
+            found = forest_search(trials, self.vectors, self.planted, self.held, k + 1, enough).where("id <> nbr").select("id", "nbr", "d2")
+            got = recall(nearest(found, k), truth, k).first()
+            if got["hits"] >= share * got["wanted"]:
+                break
+            enough *= 2
+        return min(enough, most)
+
+    def search(self, queries: DataFrame, k: int, method: str = "expansion", rounds: int = 2, pool: int = 30, radius: int = 2, enough: int | None = None) -> DataFrame:
+        """(id, nbr, rank, d2) for query vectors (id, v): a pool by code or by trees, then neighbours of the pool's best rows.
+
+        ``method``: "pool" ranks the pool by code only, "expansion" adds the neighbours of all pool rows in each round,
+        "best_first" those of its best ``k`` rows; "trees" ranks the rows of the leaves closest to a query (``enough`` of
+        them, by default as many as trial rows needed), "trees_expansion" adds neighbours to these."""
+        if method not in ("pool", "expansion", "best_first", "trees", "trees_expansion"):
             raise ValueError(f"unknown search method: {method!r}")
-        codes = sign_codes(queries, self.tables, self.bits)
-        found = self._ranked(hamming_pool_of(codes, self.codes, self.bits, radius), queries, pool)
-        for _ in range(rounds if method != "pool" else 0):
-            open_ = found if method == "expansion" else found.where(F.col("rank") <= k)
+        if method.startswith("trees"):
+            if self.planted is None:
+                raise ValueError("the index was built without trees to search")
+            found = saved(forest_search(queries, self.vectors, self.planted, self.held, max(k, pool), enough or self.enough))
+        else:
+            found = self._ranked(hamming_pool_of(sign_codes(queries, self.tables, self.bits), self.codes, self.bits, radius), queries, pool)
+        for _ in range(rounds if method not in ("pool", "trees") else 0):
+            open_ = found.where(F.col("rank") <= k) if method == "best_first" else found
             more = open_.select("id", F.col("nbr").alias("via")).join(self.graph.select(F.col("id").alias("via"), "nbr"), "via").select("id", "nbr")
             found = saved(self._ranked(found.select("id", "nbr").unionByName(more), queries, pool))
         return nearest(found.select("id", "nbr", "d2"), k)
 
+    def probes(self, queries: DataFrame, enough: int) -> DataFrame:
+        """(id, place, tree, node): the order in which a search by trees looks into leaves."""
+        if self.planted is None:
+            raise ValueError("the index was built without trees to search")
+        return probes(queries, self.planted, self.held, enough)
+
     def _ranked(self, pairs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         pairs = pairs.distinct().join(queries.select("id", F.col("v").alias("va")), "id").join(self.vectors.select(F.col("id").alias("nbr"), F.col("v").alias("vb")), "nbr")
         return nearest(pairs.select("id", "nbr", METRICS["l2"](F.col("va"), F.col("vb")).alias("d2")), k)
@@ -404,15 +447,23 @@ class KnnIndex:
         return left.join(right, F.lit(True)).select(METRICS[metric](F.col("va"), F.col("vb")).alias("d2"))
 
     def save(self, path: str) -> None:
+        spark = self.vectors.sparkSession
         for name in ("vectors", "graph", "codes"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        settings = self.vectors.sparkSession.createDataFrame([(self.tables, self.bits)], "tables int, bits int")
+        if self.planted is not None:
+            self.planted.table(spark).write.mode("overwrite").parquet(f"{path}/planes")
+            self.held.write.mode("overwrite").parquet(f"{path}/leaves")
+        settings = spark.createDataFrame([(self.tables, self.bits, self.planted is not None, self.enough)], "tables int, bits int, forest boolean, enough long")
         settings.write.mode("overwrite").parquet(f"{path}/settings")
 
     @classmethod
     def load(cls, spark, path: str) -> KnnIndex:
-        index = cls(*(spark.read.parquet(f"{path}/{name}") for name in ("vectors", "graph", "codes")))
-        index.tables, index.bits = spark.read.parquet(f"{path}/settings").first()
+        settings = spark.read.parquet(f"{path}/settings").first()
+        parts = [spark.read.parquet(f"{path}/{name}") for name in ("vectors", "graph", "codes")]
+        if settings["forest"]:
+            parts += [Forest.of(spark.read.parquet(f"{path}/planes")), spark.read.parquet(f"{path}/leaves")]
+        index = cls(*parts)
+        index.tables, index.bits, index.enough = settings["tables"], settings["bits"], settings["enough"]
         return index
 
 

@@ -188,6 +188,28 @@ def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enough(index.search(rows, 5), rows, 5, knn.block_join(rows, rows, 5, keep_self=True))
 
 
+@query()
+def knn_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search by trees of an index that was saved and loaded."""
+    path, rows = scratch(spark, "forest"), vectors(spark, sf_dir).select("id", "v")
+    knn.KnnIndex.build(rows, "exact", 10, search_trees=10).save(path)
+    return rounded(knn.KnnIndex.load(spark, path).search(rows, 5, "trees"), "d2")
+
+
+@query(ENOUGH % 5)
+def forest_search_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir).select("id", "v")
+    index = knn.KnnIndex.build(rows, "exact", 10, search_trees=10)
+    return enough(index.search(rows, 5, "trees"), rows, 5, knn.block_join(rows, rows, 5, keep_self=True))
+
+
+@query("select cast(t as int) as tree, count(*) as n, count(distinct vec_id) as ids from embeddings, range(0, 10) r(t) group by t")
+def forest_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tree holds every row once."""
+    index = knn.KnnIndex.build(vectors(spark, sf_dir).select("id", "v"), "exact", 10, search_trees=10)
+    return index.held.groupBy("tree").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+
+
 # Files
 
 
