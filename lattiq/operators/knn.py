@@ -15,7 +15,7 @@ from lattiq.functions.linalg import METRICS, doubles
 from lattiq.functions.lineage import saved
 from lattiq.functions.rng import pair_key, uniform
 from lattiq.functions.shipping import ship
-from lattiq.operators.trees import Forest, leaves, plant, probes
+from lattiq.operators.trees import Forest, axis, leaves, plant, probes, visits
 
 KNN = "id long, nbr long, rank int, d2 double"
 NEAR = pa.schema([("id", pa.int64()), ("nbr", pa.int64()), ("d2", pa.float64())])
@@ -207,12 +207,11 @@ def forest(vectors: DataFrame, k: int, trees: int | None = None, leaf: int = 160
     return propagate(start, vectors, k, rounds, metric) if rounds else start
 
 
-def forest_search(queries: DataFrame, vectors: DataFrame, planted: Forest, held: DataFrame, k: int, enough: int | None = None, metric: str = "l2") -> DataFrame:
-    """The ``k`` nearest of ``vectors`` (id, v) of every row of ``queries``, whose ids are their own, among the rows in the leaves
-    (``held``: node, id) that ``probes`` names; ``enough`` rows of leaves are looked at, ``k`` for each tree if not given.
+def leaf_meetings(asked: DataFrame, held: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", both: bool = False) -> DataFrame:
+    """(id, nbr, d2): of the rows of ``asked`` (node, id of ``queries``) with those of ``held`` (node, id of ``vectors``) at the
+    same node, the ``k`` closest of each of the former there; with ``both``, of each of the latter too. Pairs can repeat.
 
-    Queries meet a leaf's rows in arrays, MEET at most of either at a time."""
-    asked = saved(probes(queries, planted, held, enough or k * len(planted.roots)).select("node", "id"))
+    They meet in arrays, MEET at most of either at a time."""
     sizes = held.groupBy("node").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts"))
     sizes = sizes.join(asked.groupBy("node").agg(F.ceil(F.count("*") / MEET).cast("int").alias("askers")), "node")
 
@@ -226,12 +225,20 @@ def forest_search(queries: DataFrame, vectors: DataFrame, planted: Forest, held:
         asking, offered = kind == 0, kind == 1
         if not asking.any() or not offered.any():
             return None
-        return closest(ids[asking], ids[offered], distances(v[asking], v[offered], metric), k, keep_self=True)
+        d = distances(v[asking], v[offered], metric)
+        there = closest(ids[asking], ids[offered], d, k, keep_self=not both)
+        return there if not both else [np.concatenate(c) for c in zip(there, closest(ids[offered], ids[asking], d.T, k))]
 
-    members = dealt(held.select("node", "id"), 1, "parts", "askers").join(vectors.select("id", doubles("v").alias("v")), "id")
+    members = dealt(held, 1, "parts", "askers").join(vectors.select("id", doubles("v").alias("v")), "id")
     askers = dealt(asked, 0, "askers", "parts").join(queries.select("id", doubles("v").alias("v")), "id")
-    met = by_group(members.unionByName(askers).select("key", "kind", "id", "v"), "key", meet, NEAR, "id long, nbr long, d2 double")
-    return merged(met, k)
+    return by_group(members.unionByName(askers).select("key", "kind", "id", "v"), "key", meet, NEAR, "id long, nbr long, d2 double")
+
+
+def forest_search(queries: DataFrame, vectors: DataFrame, planted: Forest, held: DataFrame, k: int, enough: int | None = None, metric: str = "l2") -> DataFrame:
+    """The ``k`` nearest of ``vectors`` (id, v) of every row of ``queries``, whose ids are their own, among the rows in the leaves
+    (``held``: node, id) that ``probes`` names; ``enough`` rows of leaves are looked at, ``k`` for each tree if not given."""
+    asked = saved(probes(queries, planted, held, enough or k * len(planted.roots)).select("node", "id"))
+    return merged(leaf_meetings(asked, held.select("node", "id"), queries, vectors, k, metric), k)
 
 
 def tree_count(n: int) -> int:
@@ -239,34 +246,19 @@ def tree_count(n: int) -> int:
     return 10 if n < 100_000 else 20 if n < 1_000_000 else 50 if n < 5_000_000 else 100
 
 
-def variance_leaves(vectors: DataFrame, trees: int, leaf: int, seed: int) -> DataFrame:
-    """(bucket, id): leaves of trees that split each node at the mean of one of its five dimensions of largest variance.
-
-    All nodes of a level are split in one pass: variances by (node, dimension), the five largest, one of them by a seeded
-    number, its mean as the cut."""
-    state = None
-    for t in range(trees):
-        one = vectors.select("id", F.concat(F.lit(f"{t}:")).alias("bucket"))
-        state = one if state is None else state.unionByName(one)
-    state = saved(state.withColumn("done", F.lit(False)))
-    long = vectors.select("id", F.posexplode(doubles("v")).alias("dim", "x"))
-    for level in range(32):
-        size = state.groupBy("bucket").agg(F.count("*").alias("n"))
-        open_ = state.join(size.where(F.col("n") > leaf), "bucket").where(~F.col("done"))
-        spread = open_.select("id", "bucket").join(long, "id").groupBy("bucket", "dim").agg(F.var_pop("x").alias("var"), F.avg("x").alias("cut"))
-        top = spread.where("var > 0").withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("var"), "dim"))).where("place <= 5")
-        chosen = top.groupBy("bucket").agg(F.min_by(F.struct("dim", "cut"), uniform(F.hash("bucket", "dim").cast("long") + F.lit(1 << 31), seed + level)).alias("c")).select("bucket", "c.dim", "c.cut")
-        split = open_.select("id", "bucket").join(chosen, "bucket").join(long, ["id", "dim"]).select("id", F.concat("bucket", F.when(F.col("x") > F.col("cut"), "1").otherwise("0")).alias("moved"), F.col("bucket"))
-        new = saved(state.join(split, ["id", "bucket"], "left").select("id", F.coalesce("moved", "bucket").alias("bucket"), F.col("moved").isNull().alias("done")))
-        state = new
-        if new.where(~F.col("done")).limit(1).count() == 0:
-            break
-    return state.select("bucket", "id")
-
-
-def merged_leaves(vectors: DataFrame, k: int, trees: int = 8, leaf: int = 40, seed: int = 1998, metric: str = "l2") -> DataFrame:
-    """Start lists from variance-split trees: leaf mates of all trees, ranked."""
-    return leaf_knn(variance_leaves(vectors, trees, leaf, seed), vectors, k, metric)
+def merged_leaves(vectors: DataFrame, k: int, trees: int = 8, leaf: int = 40, seed: int = 1998, metric: str = "l2", levels: int = 4) -> DataFrame:
+    """Start lists from trees that split each node at the mean of one of its five dimensions of largest variance: leaf mates, and
+    those that meet as the smaller subtree's rows visit the larger one's leaves, ``levels`` nodes up from the leaves."""
+    planted = plant(vectors, trees, leaf, seed, metric, split=axis)
+    if planted is None:
+        return vectors.sparkSession.createDataFrame([], KNN)
+    held = saved(leaves(vectors, planted))
+    start = leaf_knn(held.select(F.concat(F.col("node").cast("string"), F.lit(":")).alias("bucket"), "id"), vectors, k, metric)
+    if not levels:
+        return start
+    came = saved(visits(vectors, planted, held, levels).select("node", "id"))
+    met = leaf_meetings(came, held.select("node", "id"), vectors, vectors, k, metric, both=True)
+    return merged(start.select("id", "nbr", "d2").unionByName(met), k)
 
 
 def nn_descent(vectors: DataFrame, k: int, epochs: int = 8, sample: int = 10, cap: int = 100, seed: int = 7, start: DataFrame | None = None, metric: str = "l2") -> DataFrame:
