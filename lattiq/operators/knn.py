@@ -207,9 +207,10 @@ def forest(vectors: DataFrame, k: int, trees: int | None = None, leaf: int = 160
     return propagate(start, vectors, k, rounds, metric) if rounds else start
 
 
-def leaf_meetings(asked: DataFrame, held: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", both: bool = False) -> DataFrame:
+def leaf_meetings(asked: DataFrame, held: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", both: bool = False, keep_self: bool = False) -> DataFrame:
     """(id, nbr, d2): of the rows of ``asked`` (node, id of ``queries``) with those of ``held`` (node, id of ``vectors``) at the
-    same node, the ``k`` closest of each of the former there; with ``both``, of each of the latter too. Pairs can repeat.
+    same node, the ``k`` closest of each of the former there; with ``both``, of each of the latter too. Pairs can repeat; rows with
+    the same id are none but with ``keep_self``.
 
     They meet in arrays, MEET at most of either at a time."""
     sizes = held.groupBy("node").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts"))
@@ -226,8 +227,8 @@ def leaf_meetings(asked: DataFrame, held: DataFrame, queries: DataFrame, vectors
         if not asking.any() or not offered.any():
             return None
         d = distances(v[asking], v[offered], metric)
-        there = closest(ids[asking], ids[offered], d, k, keep_self=not both)
-        return there if not both else [np.concatenate(c) for c in zip(there, closest(ids[offered], ids[asking], d.T, k))]
+        there = closest(ids[asking], ids[offered], d, k, keep_self=keep_self)
+        return there if not both else [np.concatenate(c) for c in zip(there, closest(ids[offered], ids[asking], d.T, k, keep_self=keep_self))]
 
     members = dealt(held, 1, "parts", "askers").join(vectors.select("id", doubles("v").alias("v")), "id")
     askers = dealt(asked, 0, "askers", "parts").join(queries.select("id", doubles("v").alias("v")), "id")
@@ -238,7 +239,7 @@ def forest_search(queries: DataFrame, vectors: DataFrame, planted: Forest, held:
     """The ``k`` nearest of ``vectors`` (id, v) of every row of ``queries``, whose ids are their own, among the rows in the leaves
     (``held``: node, id) that ``probes`` names; ``enough`` rows of leaves are looked at, ``k`` for each tree if not given."""
     asked = saved(probes(queries, planted, held, enough or k * len(planted.roots)).select("node", "id"))
-    return merged(leaf_meetings(asked, held.select("node", "id"), queries, vectors, k, metric), k)
+    return merged(leaf_meetings(asked, held.select("node", "id"), queries, vectors, k, metric, keep_self=True), k)
 
 
 def tree_count(n: int) -> int:
@@ -328,12 +329,44 @@ def hamming_pool(queries: DataFrame, codes: DataFrame, bits: int, radius: int) -
     return found.groupBy("id", "nbr").agg(F.min("radius").cast("int").alias("radius"))
 
 
-def hamming(vectors: DataFrame, k: int, tables: int = 4, bits: int | None = None, radius: int = 2, metric: str = "l2") -> DataFrame:
-    """The nearest of the rows with a code within ``radius`` bits; codes get longer with the number of rows, so that a code's
-    rows stay few."""
+def hamming_probes(queries: DataFrame, codes: DataFrame, bits: int, radius: int, pool: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((node, id) to look into for each query, (node, id) of the rows): a node is a code of a table that has rows.
+
+    Codes are looked into by the number of bits in which they differ, up to ``radius``; a query whose codes so far hold ``pool`` rows
+    looks into none that differ in more bits."""
+    node = (F.col("tbl") * F.lit(1 << bits) + F.col("code") if bits < 56 else F.xxhash64("tbl", "code")).alias("node")
+    held = codes.select(node, "id")
+    flips = F.array(*[F.lit(m).cast("long") for m in masks(bits, radius)])
+    asked = queries.select("tbl", "id", F.explode(F.transform(flips, lambda m: F.struct(F.col("code").bitwiseXOR(m).alias("code"), F.bit_count(m).alias("radius")))).alias("p")).select("tbl", "id", "p.*")
+    asked = asked.select(node, "id", "radius").join(held.groupBy("node").agg(F.count("*").alias("n")), "node")
+    if pool is not None:
+        nearer = Window.partitionBy("id").orderBy("radius").rangeBetween(Window.unboundedPreceding, -1)
+        asked = asked.withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0))).where(F.col("before") < pool)
+    return asked.select("node", "id"), held
+
+
+def filled(knn: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", seed: int = 5) -> DataFrame:
+    """Lists shorter than ``k`` get rows drawn at random (the first 2 k + 1 in the order of a hash), ranked among the others."""
+    if knn.count() == k * vectors.count():
+        return knn
+    drawn = [r["id"] for r in vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").select("id").limit(2 * k + 1).collect()]
+    short = vectors.select("id").join(knn.groupBy("id").agg(F.count("*").alias("n")), "id", "left").where(F.coalesce("n", F.lit(0)) < k)
+    more = short.select("id", F.explode(F.array(*[F.lit(i).cast("long") for i in drawn])).alias("nbr")).join(knn.select("id", "nbr"), ["id", "nbr"], "left_anti") if drawn else short.selectExpr("id", "id nbr")
+    more = ranked_pairs(more, vectors, k, metric).withColumn("fill", F.lit(1)).unionByName(knn.withColumn("fill", F.lit(0)))
+    kept = more.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("fill", "d2", "nbr"))).where(F.col("place") <= k)
+    return nearest(kept.select("id", "nbr", "d2"), k)
+
+
+def hamming(vectors: DataFrame, k: int, tables: int = 4, bits: int | None = None, radius: int = 2, metric: str = "l2", pool: int | None = None, fill: bool = True) -> DataFrame:
+    """The nearest of the rows with a code within ``radius`` bits, or within as many as a ``pool`` of rows takes; codes get longer
+    with the number of rows, so that a code's rows stay few. With ``fill``, random rows fill up lists that are shorter than ``k``.
+
+    Codes' rows meet in arrays, MEET of either side at a time; a pair that is not among the ``k`` nearest there is never a row."""
     bits = bits or max(8, int(np.ceil(np.log2(max(1, vectors.count() / 4)))))
-    codes = sign_codes(vectors, tables, bits)
-    return ranked_pairs(hamming_pool(codes, codes, bits, radius).select("id", "nbr"), vectors, k, metric)
+    codes = saved(sign_codes(vectors, tables, bits))
+    asked, held = hamming_probes(codes, codes, bits, radius, pool)
+    found = merged(leaf_meetings(asked if pool is None else saved(asked), held, vectors, vectors, k, metric), k)
+    return filled(saved(found), vectors, k, metric) if fill else found
 
 
 def radius_histogram(pool: DataFrame, enough: int) -> DataFrame:

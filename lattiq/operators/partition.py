@@ -77,7 +77,7 @@ def parts_in_cells(cells: DataFrame, edges: DataFrame) -> DataFrame:
 
 def moved_clusters(layout: DataFrame, membership: DataFrame, offsets: DataFrame) -> DataFrame:
     """Each position shifted by its cluster's offset (cluster, dx, dy)."""
-    m = membership.select("id", "cluster").join(F.broadcast(offsets), "cluster")
+    m = membership.select("id", "cluster").join(offsets, "cluster")
     return layout.join(m, "id", "left").select("id", (F.col("x") + F.coalesce("dx", F.lit(0.0))).alias("x"), (F.col("y") + F.coalesce("dy", F.lit(0.0))).alias("y"))
 
 
@@ -97,10 +97,10 @@ def kmeans(vectors: DataFrame, k: int, rounds: int = 100, threshold: float = 0.0
     ``threshold`` or less. The centre of a cluster of one row stays, unless ``move_singletons``."""
     vectors = vectors.select("id", F.col("v").cast("array<double>").alias("v"))
     centres, before, n = saved(first_centres(vectors, k)), None, None
+    dims = centres.agg(F.max(F.size("centre")).alias("d")).first()["d"] or 0
     for _ in range(rounds):
         now = saved(assigned(vectors, centres).select("id", "cluster"))
-        means = vectors.join(now, "id").select("cluster", F.posexplode("v").alias("dim", "x")).groupBy("cluster", "dim").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
-        means = means.groupBy("cluster").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("mean"))
+        means = vectors.join(now, "id").groupBy("cluster").agg(F.count("*").alias("n"), F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(dims)]).alias("mean"))
         fine = F.col("n") > (0 if move_singletons else 1)
         centres = saved(centres.join(means, "cluster", "left").select("cluster", F.when(fine, F.col("mean")).otherwise(F.col("centre")).alias("centre")))
         if before is not None:
