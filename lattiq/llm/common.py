@@ -56,11 +56,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     The rows taken are the first in the order of a hash of their id, so that the sample is the same on every run. A doc_id
     labelled twice counts with its larger label, one with several texts with the first of them in order; null ids and labels
     are left out, as are texts of more than a 64th of those bytes. Only ids of the sample are broadcast, 2 x ``per_class``
-    rows at most; texts are taken whole.
+    rows at most; texts are taken whole. Sizes are summed first (a doc_id with several texts counts with its longest), so
+    no other text than the sample's is shuffled.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     taken = marks.where("label = 1").orderBy(*order).limit(per_class).unionByName(marks.where("label = 0").orderBy(*order).limit(per_class))
-    found = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= bytes_per_class // 64).join(F.broadcast(taken), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    short = docs.select("doc_id", "text", size.alias("bytes")).where(F.col("bytes") <= bytes_per_class // 64)
+    sizes = short.select("doc_id", "bytes").join(F.broadcast(taken), "doc_id").groupBy("doc_id", "label").agg(F.max("bytes").alias("bytes"))
     upto = Window.partitionBy("label").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of a bounded number of rows
-    return found.withColumn("bytes", F.sum(F.octet_length("text")).over(upto)).where(F.col("bytes") <= bytes_per_class).select("doc_id", "text", "label")
+    chosen = saved(sizes.withColumn("bytes", F.sum("bytes").over(upto)).where(F.col("bytes") <= bytes_per_class).select("doc_id", "label"))
+    return short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", "label")

@@ -94,7 +94,7 @@ class Model:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, margin))))
 
 
-def fit(rows: list[tuple[list[int], list[float], list[float], int]], share: float, epochs: int = 25, batch: int = 256, rate: float = 0.05, decay: float = 1e-4) -> Model:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, list[float], int]], share: float, epochs: int = 25, batch: int = 256, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Adagrad on the logistic loss; ``share`` is the share of label 1 among all labelled rows, which the sample need not have."""
     random = np.random.default_rng(9)
     y = np.array([r[3] for r in rows], dtype=float)
@@ -115,15 +115,18 @@ def fit(rows: list[tuple[list[int], list[float], list[float], int]], share: floa
             value = np.concatenate([np.concatenate([rows[i][1], x[i]]) for i in some])
             size = np.array([len(rows[i][0]) + STATS for i in some])
             start = np.concatenate([[0], np.cumsum(size)[:-1]])
-            vx = v[column] * value[:, None]
-            total = np.add.reduceat(vx, start)
-            margin = bias + np.add.reduceat(w[column] * value, start) + 0.5 * (total**2 - np.add.reduceat(vx**2, start)).sum(axis=1)
+            # One factor at a time: all of them for every word of a batch of long texts would be much of the driver's memory.
+            total, margin = np.empty((len(some), RANK)), bias + np.add.reduceat(w[column] * value, start)
+            for f in range(RANK):
+                vx = v[column, f] * value
+                total[:, f] = np.add.reduceat(vx, start)
+                margin += 0.5 * (total[:, f] ** 2 - np.add.reduceat(vx**2, start))
             slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[some]) * weight[some] / len(some)
-            per = np.repeat(slope, size)
+            per = np.repeat(slope, size) * value
             names, at = np.unique(column, return_inverse=True)
-            dw = np.bincount(at, per * value) + decay * w[names]
-            each = (per * value)[:, None] * (np.repeat(total, size, axis=0) - vx)
-            dv = np.stack([np.bincount(at, each[:, f]) for f in range(RANK)], axis=1) + decay * v[names]
+            dw, dv = np.bincount(at, per) + decay * w[names], decay * v[names]
+            for f in range(RANK):
+                dv[:, f] += np.bincount(at, per * (np.repeat(total[:, f], size) - v[column, f] * value))
             gw[names] += dw**2
             w[names] -= rate * dw / np.sqrt(gw[names])
             gv[names] += dv**2
@@ -150,6 +153,11 @@ def score_rows(rows: Iterator[pa.RecordBatch], model: Model, schema: pa.Schema)
         yield record(schema, *(batch.column(n) for n in schema.names[:-1]), score)
 
 
+def split(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Each row's list."""
+    return [x.values.to_numpy() for x in column]
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, fold: int | None = 3) -> Model:
     """A model from at most ``per_class`` labelled documents (and 16 MiB of text) of each class; with ``fold``, rows whose crc32 of the id modulo
     ``fold`` is 1 are kept out. Without labels of both classes every score is the share of label 1, a half if
@@ -163,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, fold: int |
     schema = pa.schema([("doc_id", _arrow(kind)), ("label", pa.int32()), ("bucket", pa.list_(pa.int32())), ("value", pa.list_(pa.float64())), ("stats", pa.list_(pa.float64()))])
     made = sample.mapInArrow(partial(feature_rows, schema=schema), f"doc_id {kind.simpleString()}, label int, bucket array<int>, value array<double>, stats array<double>")
     got = made.orderBy(F.xxhash64("doc_id"), "doc_id", F.hash("bucket")).toArrow()
-    return fit(list(zip(*(got.column(n).to_pylist() for n in ("bucket", "value", "stats", "label")))), share)
+    return fit(list(zip(split(got.column("bucket")), split(got.column("value")), got.column("stats").to_pylist(), got.column("label").to_pylist())), share)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

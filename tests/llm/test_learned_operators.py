@@ -109,6 +109,31 @@ def test_samples_are_bounded_in_rows_and_bytes(spark):
     assert len(few) == 39 and all(len(r.text) <= 100 for r in few)
 
 
+def test_texts_beyond_the_sample_are_not_held(spark):
+    """The sample is chosen by sizes: no window holds texts, and those left out are not shuffled."""
+    docs = spark.createDataFrame([(i, "x" * 50) for i in range(200)] + [(3, "longer " * 9), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    sample = labelled_sample(docs, labels, "toxic", 100, bytes_per_class=64 * 64)
+    assert "Window" not in sample._jdf.queryExecution().optimizedPlan().toString()
+    rows = sample.collect()
+    assert 2 * 80 <= len(rows) <= 2 * 82 and len({r.doc_id for r in rows}) == len(rows)
+    assert all(sum(len(r.text) for r in rows if r.label == c) <= 64 * 64 for c in (0, 1))
+    assert {r.text for r in rows if r.doc_id == 3} <= {"longer " * 9} and {r.text for r in rows if r.doc_id == 4} <= {""}
+
+
+def test_memory_of_a_fit_on_long_texts():
+    """A batch of many words takes a few numbers for each, not one for each factor."""
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    rows = [(r.choice(quality.BUCKETS, 5000, replace=False).astype(np.int32), np.full(5000, 5000**-0.5), [0.0] * quality.STATS, i % 2) for i in range(64)]
+    tracemalloc.start()
+    quality.fit(rows, 0.5, epochs=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 * 64 * 5000
+
+
 def test_windows_cover_the_text():
     pair = toxicity.compressors(b"zogvik", b"an er st re")
     for n in (1, 63, 64, 65, 115, 116, 117, 1000):
