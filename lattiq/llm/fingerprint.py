@@ -16,6 +16,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 from functools import partial
 
 import numpy as np
@@ -37,6 +38,8 @@ PER_SENTENCE, PER_WORD = 3, 6
 ROWS, CHARS, TASK_BYTES = 200, 2 << 20, 32 << 20
 #: Ranges at most, and rows of the sample that finds each one's bounds.
 RANGES, PER_RANGE = 10_000, 32
+#: Rows that Spark's reader holds at once; its arrays of texts double as they grow, and 4096 texts are many.
+READ_ROWS = 512
 END = re.compile(r"(?<=[.!?\u2026\u3002])\s+")
 
 
@@ -257,43 +260,58 @@ def compare_with_next(docs: DataFrame, id_column: str = "doc_id", text_column: s
     after the last comes the first, which for a single row is itself). Null texts are empty; repeated rows repeat.
 
     Rows are cut into ranges of that order, by id and hash, so that rows that share an id are parted too. The first row of each
-    range, one for a task, is what the range before it needs besides its own rows, so the texts are shuffled once.
+    range, one for a task, is what the range before it needs besides its own rows, so the texts are shuffled once. It is known
+    from the bounds, without an aggregate or a join, whose sorts and tables would hold pages of memory in each task.
     """
     spark = ready(docs.sparkSession)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     kind = docs.schema[id_column].dataType
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = min(RANGES, max(partitions(spark), -(-size // TASK_BYTES)))
-    # A sample of a bounded number of ids finds the bounds.
+    place = F.struct(F.col("id").isNull(), -F.col("id"), F.col("hash"))
+    size, head = rows.agg(F.sum(F.octet_length("text")), F.min_by(F.struct("id", "hash"), place)).first()  # no keys: nothing is sorted
+    n = min(RANGES, max(partitions(spark), -(-(size or 0) // TASK_BYTES)))
+    # A sample of a bounded number of ids finds the bounds. Each bound is a row, the first of its range.
     sample = rows.select("id", "hash").orderBy(F.xxhash64("id", "hash"), "id").limit(PER_RANGE * n).collect()
     sample = sorted({(r["id"] is None, -r["id"] if r["id"] is not None else 0, r["hash"]) for r in sample})
     cuts = [sample[len(sample) * i // n] for i in range(1, n)] if len(sample) > n else sample[1:]
+    heads = [(head["id"], head["hash"])] if head else []
+    heads += [(None if none else -negative, hash_) for none, negative, hash_ in cuts]
     rows = rows.withColumn("bucket", ranged(cuts))
-    place = F.struct(F.col("id").isNull(), -F.col("id"), F.col("hash"))
-    heads = rows.groupBy("bucket").agg(F.min_by(F.struct("id", "hash"), place).alias("head")).orderBy("bucket").collect()  # a row for each range
-    to = [(h["head"]["id"], h["head"]["hash"], heads[i - 1]["bucket"]) for i, h in enumerate(heads)]
-    shown = spark.createDataFrame(to, f"head_id {kind.simpleString()}, head_hash long, before int")
-    rows = rows.join(F.broadcast(shown), F.col("id").eqNullSafe(F.col("head_id")) & (F.col("hash") == F.col("head_hash")), "left")
-    spots = F.array_compact(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("carried")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("carried")))))
+    is_head = F.col("id").eqNullSafe(listed([i for i, _ in heads], "bucket").cast(kind)) & (F.col("hash") == listed([h for _, h in heads], "bucket"))
+    before = F.pmod(F.col("bucket") - 1, F.lit(len(cuts) + 1))
+    spots = F.array_compact(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("carried")), F.when(is_head, F.struct(before.alias("bucket"), F.lit(True).alias("carried")))))
     rows = rows.select("id", "text", "hash", F.explode(spots).alias("spot")).select("spot.*", "id", "text", "hash")
     rows = rows.repartitionById(max(1, len(cuts) + 1), "bucket").sortWithinPartitions("carried", F.col("id").desc_nulls_last(), "hash").select("carried", "id", "text")
     schema = pa.schema([(id_column, _arrow(kind)), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
     return rows.mapInArrow(partial(compare_rows, schema=schema), f"{id_column} {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def in_sql(value: int | float | Decimal | None) -> str:
+    """A number in SQL."""
+    if value is None:
+        return "null"
+    return f"{value}L" if isinstance(value, int) else f"{value}BD" if isinstance(value, Decimal) else f"{value!r}D"
+
+
+def listed(values: list, index: str) -> Column:
+    """That of ``values`` at the place that column ``index`` names, from one literal."""
+    return F.expr(f"get(array({', '.join(map(in_sql, values))}), {index})")
+
+
 def ranged(cuts: list[tuple[bool, int, int]]) -> Column:
-    """How many of the ascending ``cuts`` (id is null, -id, hash) a row (id, hash) has reached, by bisection."""
+    """How many of the ascending ``cuts`` (id is null, -id, hash) a row (id, hash) has reached, by bisection. It is parsed at
+    once, as a column made of thousands of others takes minutes of the driver."""
 
-    def reached(cut: tuple[bool, int, int]) -> Column:
+    def reached(cut: tuple[bool, int, int]) -> str:
         none, negative, hash_ = cut
         if none:
-            return F.col("id").isNull() & (F.col("hash") >= hash_)
-        return F.col("id").isNull() | (F.col("id") < -negative) | ((F.col("id") == -negative) & (F.col("hash") >= hash_))
+            return f"id is null and hash >= {in_sql(hash_)}"
+        return f"id is null or id < {in_sql(-negative)} or id = {in_sql(-negative)} and hash >= {in_sql(hash_)}"
 
-    def between(lo: int, hi: int) -> Column:
+    def between(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(reached(cuts[mid]), between(mid + 1, hi)).otherwise(between(lo, mid))
+        return f"if({reached(cuts[mid])}, {between(mid + 1, hi)}, {between(lo, mid)})"
 
-    return between(0, len(cuts))
+    return F.expr(between(0, len(cuts)))

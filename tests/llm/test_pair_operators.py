@@ -150,6 +150,34 @@ def test_rows_without_ids_are_parted(spark):
     assert max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()) < 400
 
 
+def test_ranges_need_no_aggregate_by_range_and_no_join(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(i, f"text number {i}", 1, "h") for i in range(500)], PIECES).mapInArrow(counting, PIECES)
+    df = fingerprint.compare_with_next(rows)
+    assert len(df.collect()) == 500
+    assert read.value == 3 * 500  # sizes and the first row, the sample, the texts
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Sort [") == 1
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == str(fingerprint.READ_ROWS)
+
+
+def test_rows_find_their_range(spark):
+    ids = [None, -(2**63) + 1, -5, 0, 7, 7, 2**63 - 1]
+    hashes = [-(2**63), -1, 0, 1, 2**63 - 1]
+    place = {(i, h): (i is None, -i if i is not None else 0, h) for i in ids for h in hashes}
+    cuts = sorted(place.values())[1::2]
+    df = spark.createDataFrame(list(place), "id long, hash long").withColumn("bucket", fingerprint.ranged(cuts))
+    for r in df.withColumn("at", fingerprint.listed([*range(-1, len(cuts) - 1), None], "bucket")).collect():
+        assert r.bucket == sum(c <= place[r.id, r.hash] for c in cuts)
+        assert r["at"] == (r.bucket - 1 if r.bucket < len(cuts) else None)
+
+
 def test_odd_fingerprint_rows(spark):
     rows = [(5, "a b c d e f", 1, "h"), (5, "a b c d e f", 1, "h"), (None, "none", 1, "h"), (9, None, None, None)]
     assert sorted((r.doc_id or 0, r.n_chars) for r in fingerprint_rows(spark, rows)) == [(0, 4), (5, 11), (5, 11), (9, 0)]
